@@ -59,3 +59,8 @@ def runs(offsets, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(offsets.searchsorted(offsets[at] + limit, "right")) - 1)
         yield at, min(to, n)
         at = to
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, a checkpoint of a few numbers a row, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df

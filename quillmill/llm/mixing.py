@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, saved
+from .common import free_name, saved, small
 
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Groups of neighbouring documents for the prefix sum: about this many altogether, however many documents there are.
@@ -49,11 +49,6 @@ def _band(size: str) -> Column:
     return F.expr(f"length(bin({size})) * 16L + shiftright({size}, greatest(length(bin({size})) - 4, 0))")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, which is a checkpoint, to be broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _same(*names: str) -> Column:
     return F.expr(" and ".join(f"l.{n} <=> r.{n}" for n in names))
 
@@ -76,7 +71,7 @@ def copies(docs: DataFrame, size: str, seed: int = 0, out_col: str = "mix") -> D
     most = F.greatest(F.lit(float(LEAST_ROWS)), F.sum("n").over(Window.partitionBy()) / GROUPS)
     bands = saved(bands.withColumn("parts", F.ceil(F.col("n") / most)))
     part = F.floor(F.conv("h8", 16, 10).cast("long") * F.col("parts") / F.lit(float(1 << 32)))
-    some = _small(bands.select("source", "band", "parts")).alias("r")
+    some = small(bands.select("source", "band", "parts"), BROADCAST_ROWS).alias("r")
     groups = slim.alias("l").join(some, _same("source", "band")).select("l.source", "l.band", part.alias("part")).groupBy("source", "band", "part").agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("source").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
@@ -85,7 +80,7 @@ def copies(docs: DataFrame, size: str, seed: int = 0, out_col: str = "mix") -> D
     plan = saved(groups.alias("l").join(share.alias("r"), _same("source")).select("l.*", "r.source_size", "r.target", "r.start"))
     rows = rows.withColumn("h8", F.substring("h", 1, 8)).alias("l").join(some, _same("source", "band")).select("l.*", part.alias("part"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "band", "part").orderBy("h", "size")))
-    rows = rows.alias("l").join(_small(plan).alias("r"), _same("source", "band", "part")).select("l.row", "r.source_size", "r.target", "r.start", (F.col("l.k") + F.col("r.before")).alias("rank"))
+    rows = rows.alias("l").join(small(plan, BROADCAST_ROWS).alias("r"), _same("source", "band", "part")).select("l.row", "r.source_size", "r.target", "r.start", (F.col("l.k") + F.col("r.before")).alias("rank"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n = F.floor(F.col("rank") * each + F.col("start")) - F.floor((F.col("rank") - 1) * each + F.col("start"))
     return rows.select("row.*", F.struct("source_size", "target", n.alias("copies")).alias(out_col))

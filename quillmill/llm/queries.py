@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash, toxicity
+from . import decontam, mixing, secrets, simhash, toxicity
 from .common import saved, table
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -16,6 +16,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    true = F.filter("findings", lambda s: s["secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(true).cast("long").alias("n_secrets"),
+        F.transform(true, lambda s: s["word"]).alias("words"),
+        F.transform(true, lambda s: s["value"]).alias("secrets"),
+        F.transform(true, lambda s: s["score"]).alias("scores"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     how = mixing.copies(saved(docs), "size")
@@ -73,5 +86,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 SQL = {"op7_mixing": OP7, "op10_decontamination": OP10}

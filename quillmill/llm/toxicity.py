@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
-SIZES = (3, 4, 5)
-BITS = 20
+SIZES = (4, 6, 8)
+BITS = 22
 #: Bounds of the training sample: rows of each class, characters of a text that may be in it, characters altogether.
 ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 4000, 100_000, 32_000_000
 #: Features with less evidence than this chi-square take no part; at most FEATURES of them do.
-CHI2, FEATURES = 16.0, 16384
+CHI2, FEATURES = 30.0, 8192
 WINDOW = 1 << 20
+STEPS, RIDGE = 400, 1e-5
 
 
 @dataclass
@@ -84,10 +85,10 @@ def fit_texts(rows: list[tuple[str, int]]) -> Model:
     value = ratio[column] / np.sqrt(1 + len(column) / len(y))
     scale = 1 / np.sqrt(1 + len(column) / len(y))
     w, b, seen = np.zeros(len(ratio)), float(np.log(n[1] / n[0])), np.full(len(ratio), 1e-6)
-    for _ in range(150):
+    for _ in range(STEPS):
         z = np.bincount(row, value * w[column], len(y)) + b
         miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.bincount(column, value * miss[row], len(ratio)) / len(y) + 1e-4 * w
+        slope = np.bincount(column, value * miss[row], len(ratio)) / len(y) + RIDGE * w
         seen += slope**2
         w -= 0.5 * slope / np.sqrt(seen)
         b -= 0.5 * miss.mean()
