@@ -5,12 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, secrets, simhash, toxicity
+from . import decontam, html_text, licenses, mixing, repeats, secrets, simhash, topk, toxicity, urls
 from .common import saved, table
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.reduce("licenses", F.lit(0.0), lambda a, x: F.greatest(a, x["score"]))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.round(best, 9).alias("best_score"))
+
+
+_NAMES, _TEXTS = [n for n, _ in licenses.TEMPLATES], [" ".join(licenses.words(t)) for _, t in licenses.TEMPLATES]
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+OP1 = f"""
+WITH t AS (SELECT license, {_GRAMS} AS g FROM (SELECT unnest({_NAMES!r}) AS license, string_split(unnest({_TEXTS!r}), ' ') AS w)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT r, text AS p FROM d UNION ALL SELECT r, unnest(string_split(text, chr(10))) FROM d
+      UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n\\s*')) FROM d),
+b AS (SELECT r, {_GRAMS} AS g FROM (SELECT r, string_split(trim(regexp_replace(translate(p, {ASCII}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM p)),
+m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS score FROM b, t WHERE len(b.g) BETWEEN 1 AND 3000),
+x AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(score) AS best FROM m WHERE score >= 0.8 GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, round(coalesce(best, 0), 9)::DOUBLE AS best_score FROM d LEFT JOIN x USING (r)
+"""
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op5_sql() -> str:
+    weights, bias = urls.fit()
+    grams = lambda k, c, n: f"list_transform(range(1, length({c}) - {n - 2} + 2), lambda i: '{k}' || substr('^' || {c} || '$', i, {n}))"
+    every = " || ".join(grams(k, c, n) for k, c in (("h", "host"), ("p", "path")) for n in urls.SIZES)
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, _, p in (r.partition("/") for r, _ in sorted(urls.RULES, key=lambda r: -len(r[0]))))
+    said = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urls.RULES)
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {ASCII}) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+g AS (SELECT r, unnest({every}) AS gram FROM u),
+w AS (SELECT {weights!r} AS w),
+s AS (SELECT r, {bias} + sum(w[('0x' || substr(md5(gram), 1, 3))::INT + 1]) AS logit FROM g, w GROUP BY r),
+x AS (SELECT *, CASE {fits} END AS rule FROM u LEFT JOIN s USING (r))
+SELECT page_id, host, path, rule, CASE rule {said} ELSE CASE WHEN coalesce(logit, {bias}) > 0 THEN 'block' ELSE 'allow' END END AS verdict FROM x
+"""
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i]))::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.x) = len(v.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -57,6 +116,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark"))
@@ -86,5 +149,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
-SQL = {"op7_mixing": OP7, "op10_decontamination": OP10}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_html, op4_secrets, op5_urls, op6_topk, op7_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
+SQL = {"op1_licenses": OP1, "op5_urls": _op5_sql(), "op6_topk": OP6, "op7_mixing": OP7, "op10_decontamination": OP10}

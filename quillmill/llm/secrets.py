@@ -75,6 +75,7 @@ def findings(rows: int = 900) -> list[tuple[str, str, str, str, int]]:
         lambda: (long_word(), word() + " " + word(), word(), path()),
         lambda: (long_word().capitalize(), word() + " " + word(), word(), path()),
         lambda: (long_word().upper(), word().upper(), word().upper(), path()),
+        lambda: (long_word().upper()[: r.randint(12, 18)], word().upper(), word().upper(), path()),
         lambda: (long_word(), r.choice(["the token", "password" + sign(), "secret", "auth"]), word(), path()),
         lambda: (draw(dig, r.randint(12, 19)), word() + " " + word(), word(), path()),
         lambda: ("_".join(r.choice(WORDS) for _ in range(r.randint(3, 5))), r.choice([word(), key() + sign(), "name" + sign()]), word(), path()),
