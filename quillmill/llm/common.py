@@ -64,3 +64,19 @@ def runs(offsets, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, a checkpoint of a few numbers a row, to be broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Keys with more than this part of all rows are joined by broadcast; there are fewer of them than this.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with keyed, a checkpoint of one row a key, by key; n: the column of keyed that counts the rows of a key.
+
+    Rows of a hot key stay where they are and get the key's row by broadcast; there are fewer than HOT_KEYS such keys. All
+    other rows meet their keys by shuffle.
+    """
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(keyed.filter(F.col(n) > total / HOT_KEYS).drop(n))
+    cold = keyed.filter(F.col(n) <= total / HOT_KEYS).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

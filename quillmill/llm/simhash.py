@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, utf8
+from .common import join_hot, saved, utf8
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -119,12 +119,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id takes no part in the choice of component_id. No rows give no rows. Other columns of docs don't matter.
     """
     fps = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")))
-    first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    classes = components(links(first)).join(first.withColumnRenamed("fp", "node"), "node")
+    first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    classes = components(links(first)).join(first.select(F.col("fp").alias("node"), "first_id"), "node")
     least = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = classes.join(least, "label").select(F.col("node").alias("fp"), "component_id")
-    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(ids, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    ids = saved(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n"))
+    return join_hot(fps, ids, "fp", "n").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def hex16(c):
