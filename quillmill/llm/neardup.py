@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, utf8
+from .common import join_hot, saved, small, utf8
 from .components import components
 from .simhash import _hashes
 
@@ -140,13 +140,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("x"))
     fps = saved(rows.select("doc_id", "x.fp", "x.keys"))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    met = fps.join(first.withColumnRenamed("fp", "first_fp"), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    met = fps.join(first.select("id"), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     rows = met.select(F.explode("keys").alias("key"), "id", "fp").repartition("key").sortWithinPartitions("key")
     pairs = rows.mapInArrow(_linked, "a long, b long").distinct()
     labels = components(pairs)
-    ids = first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"))
-    return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", "component_id")
+    ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))
+    return join_hot(fps.select("doc_id", "fp"), ids, "fp", "n").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

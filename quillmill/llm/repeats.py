@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import join_hot, saved, small
 
 LEAST, GRAM = 50, 20
 #: Bytes of text in a batch of documents, and of hashes in a bucket; at least GROUPS of each.
@@ -381,8 +381,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.sha2(F.col("text").cast("binary"), 256)
     slim = saved(docs.select("doc_id", key.alias("h"), F.octet_length("text").cast("long").alias("n")))
-    first = slim.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    copies = saved(slim.join(first, "h").filter("doc_id > first_id").select("doc_id", "h", "n"))
+    first = saved(slim.filter("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("k")))
+    copies = saved(join_hot(slim.filter("doc_id is not null"), first, "h", "k").filter("doc_id > first_id").select("doc_id", "h", "n"))
     apart = small(saved(copies.select("doc_id", "h").distinct()))
     total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_batches, n_buckets = max(GROUPS, total // BATCH + 1), max(GROUPS, total // (BUCKET * 4) + 1)
