@@ -13,7 +13,7 @@ from .common import free_name
 SIZES = (4, 6, 8)
 BITS = 22
 #: Bounds of the training sample: rows of each class, characters of a text that may be in it, characters altogether.
-ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 4000, 100_000, 32_000_000
+ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 3000, 100_000, 24_000_000
 #: Features with less evidence than this chi-square take no part; at most FEATURES of them do.
 CHI2, FEATURES = 30.0, 8192
 WINDOW = 1 << 20
@@ -64,7 +64,7 @@ def fit_texts(rows: list[tuple[str, int]]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(lut, np.zeros(1), 20.0 if len(y) and y[0] else -20.0)
     sets = [np.unique(np.concatenate(list(ngram_bins(text)) or [np.zeros(0, np.uint32)])) for text, _ in rows]
-    counts = np.zeros((2, 1 << BITS))
+    counts = np.zeros((2, 1 << BITS), np.float32)
     for bins, label in zip(sets, y, strict=True):
         counts[int(label), bins] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])
