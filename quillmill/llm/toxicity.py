@@ -13,7 +13,7 @@ from .common import free_name
 SIZES = (4, 6, 8)
 BITS = 22
 #: Bounds of the training sample: rows of each class, characters of a text that may be in it, characters altogether.
-ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 3000, 100_000, 24_000_000
+ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 2500, 100_000, 20_000_000
 #: Features with less evidence than this chi-square take no part; at most FEATURES of them do.
 CHI2, FEATURES = 30.0, 8192
 WINDOW = 1 << 20
@@ -63,26 +63,27 @@ def fit_texts(rows: list[tuple[str, int]]) -> Model:
     lut = np.zeros(1 << BITS, np.int16)
     if not len(y) or y.min() == y.max():
         return Model(lut, np.zeros(1), 20.0 if len(y) and y[0] else -20.0)
-    sets = [np.unique(np.concatenate(list(ngram_bins(text)) or [np.zeros(0, np.uint32)])) for text, _ in rows]
     counts = np.zeros((2, 1 << BITS), np.float32)
-    for bins, label in zip(sets, y, strict=True):
-        counts[int(label), bins] += 1
+    for text, label in rows:  # n-grams are made again below, as those of all rows would take much memory
+        counts[int(label), np.unique(np.concatenate(list(ngram_bins(text))))] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     both = counts.sum(0)
     expected = both * n[1] / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.where(both > 1, (counts[1] - expected) ** 2 * n.sum() / (expected * np.maximum(n.sum() - both, 1) * n[0] / n.sum()), 0)
-    kept = np.argsort(-chi2, kind="stable")[:FEATURES]
-    kept = kept[chi2[kept] >= CHI2]
+    kept = np.flatnonzero(chi2 >= CHI2)
+    kept = kept[np.argsort(-chi2[kept], kind="stable")[:FEATURES]]
     if not len(kept):
         return Model(lut, np.zeros(1), float(np.log((n[1] + 1) / (n[0] + 1))))
     lut[kept] = np.arange(1, len(kept) + 1)
     p, q = counts[1, kept] + 1, counts[0, kept] + 1
     ratio = np.concatenate([[0], np.log(p / (n[1] + 2) / (q / (n[0] + 2)))])
-    column = [at[at > 0] for at in (lut[bins] for bins in sets)]
-    row = np.repeat(np.arange(len(y)), [len(c) for c in column])
+    del both, expected, chi2, counts
+    column = [np.unique(np.concatenate([lut[bins] for bins in ngram_bins(text)])) for text, _ in rows]
+    column = [c[c > 0].astype(np.int32) for c in column]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in column])
     column = np.concatenate(column)
-    value = ratio[column] / np.sqrt(1 + len(column) / len(y))
+    value = ratio.astype(np.float32)[column] * np.float32(1 / np.sqrt(1 + len(column) / len(y)))
     scale = 1 / np.sqrt(1 + len(column) / len(y))
     w, b, seen = np.zeros(len(ratio)), float(np.log(n[1] / n[0])), np.full(len(ratio), 1e-6)
     for _ in range(STEPS):
