@@ -109,7 +109,8 @@ def smoothed(ratios: list[float]) -> list[float]:
 def blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
     page = Page()
-    page.feed(html)
+    at = html.rfind("<!--")
+    page.feed(html[:at] if at >= 0 and "-->" not in html[at:] and "</" not in html[at:] else html)  # a comment cut off isn't text
     page.close()
     page.flush()
     if not page.lines:
