@@ -55,13 +55,11 @@ def document_windows(df: DataFrame, size: str, key: str, length: int, min_doc: i
 
 def doc_positions(ids: Column, eos: int) -> Column:
     """array<struct<doc, pos>> of a window: documents count up after each end mark, which belongs to the one it ends."""
-    zero = F.struct(F.lit(0).alias("doc"), F.lit(-1).alias("pos"), F.lit(False).alias("ended"), F.array().cast("array<struct<doc:int,pos:int>>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        doc, pos = s["doc"] + s["ended"].cast("int"), F.when(s["ended"], 0).otherwise(s["pos"] + 1)
-        return F.struct(doc.alias("doc"), pos.alias("pos"), (t == eos).alias("ended"), F.concat(s["out"], F.array(F.struct(doc.alias("doc"), pos.alias("pos")))).alias("out"))
-
-    return F.aggregate(ids, zero, step, lambda s: s["out"])
+    marks = F.filter(F.transform(ids, lambda t, i: F.when(t == eos, i)), lambda i: i.isNotNull())
+    first = F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: m + 1))
+    last = F.concat(marks, F.array(F.size(ids) - 1))
+    found = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda d: d["a"] <= d["b"])
+    return F.flatten(F.transform(found, lambda d, k: F.transform(F.sequence(d["a"], d["b"]), lambda i: F.struct(k.alias("doc"), (i - d["a"]).alias("pos")))))
 
 
 def attention_pairs(df: DataFrame, key: str, ids: str, eos: int) -> DataFrame:
