@@ -132,6 +132,30 @@ def _linked(batches):
         rest = tuple(r[at:] for r in rest)
 
 
+def _forest(batches):
+    """A forest of the links (a, b) of a partition."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(y, y)
+        return x
+
+    for batch in batches:
+        found = []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (p := root(x)) != (q := root(y)):
+                parent[max(p, q)] = min(p, q)
+                found.append((x, y))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+#: Links that one task reduces to a forest.
+LINKS = 2_000_000
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that link at a similarity of about SIMILARITY or more, directly or in steps.
 
@@ -143,7 +167,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     met = fps.join(first.select("id"), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     rows = met.select(F.explode("keys").alias("key"), "id", "fp").repartition("key").sortWithinPartitions("key")
-    pairs = rows.mapInArrow(_linked, "a long, b long").distinct()
+    pairs = saved(rows.mapInArrow(_linked, "a long, b long").distinct())
+    pairs = pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long")  # each task of the step before had its own forest
     labels = components(pairs)
     ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))
     return join_hot(fps.select("doc_id", "fp"), ids, "fp", "n").select("doc_id", "component_id")
