@@ -54,7 +54,7 @@ def assign_shards(df: DataFrame, ids: str, ordinal: str, shard_tokens: int) -> D
         pdf = pdf.sort_values("o")
         return pd.DataFrame(shard_plan(list(zip(pdf.o, pdf.n, strict=True)), shard_tokens), columns=["o", "shard_id"])
 
-    shards = slim.groupBy(F.lit(0)).applyInPandas(plan, "o long, shard_id long")
+    shards = slim.withColumn("one", F.lit("")).groupBy("one").applyInPandas(plan, "o long, shard_id long")
     return df.join(shards, F.col(ordinal) == F.col("o")).drop("o")
 
 
