@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame
@@ -13,22 +14,56 @@ from .simhash import _hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, keys of a document, bits of a key. At similarity 0.8 two fingerprints differ in 15 % of the bits, so
-#: 40 keys of 18 bits meet with probability 0.89 (0.97 at 0.85, 0.99 at 0.9). Use more bits a key, and more keys, where the
-#: number of documents is far above 2 ** KEY_BITS.
+#: 40 keys of 18 bits meet with probability 0.89 (0.97 at 0.85, 0.99 at 0.9). keys_for() takes more of both for more documents.
 BITS, KEYS, KEY_BITS = 256, 40, 18
+#: Documents that may share a key by chance.
+CHANCE = 64
+#: A key with more members than this is dealt over several tasks.
+HOT_KEY = 4096
 #: Most differing bits of a link: expected at 0.8 is 38.7 with a deviation of 5.7.
 RADIUS = 46
 N_PIVOTS = 4
 
 
-def _choice() -> list[list[int]]:
-    """The bits of each key."""
-    r = random.Random(5)
-    return [r.sample(range(BITS), KEY_BITS) for _ in range(KEYS)]
+def keys_for(n: int) -> tuple[int, int]:
+    """(keys, bits a key) for n fingerprints: as many bits as let CHANCE of them meet by chance, as many keys as keep the recall."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(n, 1) / CHANCE)))
+    return math.ceil(KEYS / 0.85 ** (bits - KEY_BITS)), bits
+
+
+def _keys_udf(keys: int, key_bits: int):
+    """fp to its keys, array<long>."""
+
+    def keys_of(fps):
+        import numpy as np
+        import pyarrow as pa
+
+        r = random.Random(5)
+        chosen = [r.sample(range(BITS), key_bits) for _ in range(keys)]
+        on = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+        out = np.empty((len(fps), keys), np.int64)
+        for k, bits in enumerate(chosen):
+            out[:, k] = on[:, bits].astype(np.int64) @ (np.int64(1) << np.arange(key_bits, dtype=np.int64)) + (k << key_bits)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * keys), pa.array(out.reshape(-1)))
+
+    return F.arrow_udf(keys_of, "array<long>")
+
+
+def _near_udf():
+    """Whether two fingerprints differ in RADIUS bits or fewer."""
+
+    def near(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
+        return pa.array(np.bitwise_count(x ^ y).sum(1) <= RADIUS)
+
+    return F.arrow_udf(near, "boolean")
 
 
 def _fingerprint_udf(shingle: int):
-    """text to (fp binary, keys array<long>)."""
+    """text to its fingerprint, binary."""
 
     def fingerprints(texts):
         import numpy as np
@@ -37,9 +72,7 @@ def _fingerprint_udf(shingle: int):
         data, offsets = utf8(texts)
         bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
         factors = [np.uint64(2 * f + 1) for f in random.Random(7).sample(range(1 << 62), BITS // 64)]
-        chosen = np.array(_choice())
-        powers = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)
-        fps, keys = [], []
+        fps = []
         for i in range(len(texts)):
             counts, n = np.zeros(BITS, np.int64), 0
             for h in _hashes(data[offsets[i] : offsets[i + 1]].tobytes(), shingle):
@@ -50,22 +83,19 @@ def _fingerprint_udf(shingle: int):
                     for b in range(8):
                         at = 64 * k + 8 * b
                         counts[at : at + 8] += np.bincount(each[:, b], minlength=256) @ bits
-            on = 2 * counts > n
-            fps.append(np.packbits(on, bitorder="little").tobytes())
-            keys.append(on[chosen] @ powers + (np.arange(KEYS, dtype=np.int64) << KEY_BITS))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), flat)
-        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), lists], ["fp", "keys"])
+            fps.append(np.packbits(2 * counts > n, bitorder="little").tobytes())
+        return pa.array(fps, pa.binary())
 
-    return F.arrow_udf(fingerprints, "fp binary, keys array<long>")
+    return F.arrow_udf(fingerprints, "binary")
 
 
 def _linked(batches):
-    """From rows (key, id, fp) in order of key, a forest of the links within keys: at most a link for each id of the partition.
+    """From rows (key, part, id, fp, home, near, leader) in order of key and part, a forest of the links within a part of a key.
 
-    Every member of a key has its distances to the key's first members as a pivot table; pairs whose distances to some pivot
-    differ by more than RADIUS go, survivors are verified, and only pairs that join two sets are kept. Members of a key are
-    compared block by block, so a large key takes time but no more memory.
+    Members near the leader of a key are of one set from the start, and so are those near a part's first member where
+    none is near a leader; pairs within a set aren't compared. All other members are compared with the members that are at home in the part: distances to
+    the first members are a pivot table, pairs whose distances to some pivot differ by more than RADIUS go, survivors are
+    verified. Only pairs that join two sets are kept.
     """
     import numpy as np
     import pyarrow as pa
@@ -80,52 +110,67 @@ def _linked(batches):
     def forest(a, b):
         out = []
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (p := root(x)) != (q := root(y)):
+            if x != y and (p := root(x)) != (q := root(y)):
                 parent[max(p, q)] = min(p, q)
                 out.append((min(x, y), max(x, y)))
         return out
 
-    def group(ids, fps):
+    def group(ids, fps, home, near, leaders):
         found = []
-        pivots = fps[:N_PIVOTS]
-        table = np.bitwise_count(fps[:, None, :] ^ pivots[None, :, :]).sum(2, dtype=np.int16)
+        if near.any():  # a tree: the leader, one member of each part, the others of the part
+            one = ids[near][:1]
+            found += forest(one, leaders[near][:1]) + forest(np.broadcast_to(one, near.sum()), ids[near])
+        elif home.any():
+            one = home.argmax()
+            near = home & (np.bitwise_count(fps ^ fps[one]).sum(1) <= RADIUS)
+            found += forest(np.broadcast_to(ids[one], near.sum()), ids[near])
+        else:
+            return found
+        table = np.bitwise_count(fps[:, None, :] ^ fps[None, :N_PIVOTS, :]).sum(2, dtype=np.int16)
         order = np.argsort(table[:, 0], kind="stable")
-        ids, fps, table = ids[order], fps[order], table[order]
-        for at in range(0, len(ids), 256):
-            block = slice(at, at + 256)
-            to = int(np.searchsorted(table[:, 0], table[block, 0].max() + RADIUS, "right"))
-            keep = np.ones((len(ids[block]), to - at), bool)
+        ids, fps, table, home, near = ids[order], fps[order], table[order], home[order], near[order]
+        other, at_home = np.flatnonzero(~near), np.flatnonzero(home)
+        first = table[at_home, 0]
+        for at in range(0, len(other), 256):
+            block = other[at : at + 256]
+            low, high = np.searchsorted(first, [table[block[0], 0] - RADIUS, table[block[-1], 0] + RADIUS + 1], "left")
+            with_ = at_home[low:high]
+            keep = (block[:, None] < with_[None, :]) | near[with_][None, :] | ~home[block][:, None]  # two members that both are other and at home meet once
             for p in range(table.shape[1]):
-                keep &= np.abs(table[block, p][:, None] - table[at:to, p][None, :]) <= RADIUS
-            i, j = np.nonzero(np.triu(keep, 1))
+                keep &= np.abs(table[block, p][:, None] - table[with_, p][None, :]) <= RADIUS
+            i, j = np.nonzero(keep)
             for part in range(0, len(i), 1 << 16):
-                x, y = i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)] + at
-                near = np.bitwise_count(fps[x] ^ fps[y]).sum(1) <= RADIUS
-                found += forest(ids[x[near]], ids[y[near]])
+                x, y = block[i[part : part + (1 << 16)]], with_[j[part : part + (1 << 16)]]
+                close = np.bitwise_count(fps[x] ^ fps[y]).sum(1) <= RADIUS
+                found += forest(ids[x[close]], ids[y[close]])
         return found
 
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64))
+    rest = None
     for batch in [*batches, None]:
         if batch is not None:
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            rest = tuple(np.concatenate([r, n]) for r, n in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp), strict=True))
-        keys, ids, fps = rest
-        if not len(keys):
+            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)) + (fp,) + tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+            rest = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
+        if rest is None or not len(rest[0]):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, parts, ids, fps, home, near, leaders = rest
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])]))
         ends = np.append(starts[1:], len(keys))
         done = len(starts) if batch is None else len(starts) - 1  # the last key may go on in the next batch
         found = []
         size = (ends - starts)[:done]
-        for step in range(1, 8):  # keys of up to 8 members, all keys at a time
+        for step in range(1, 8):  # keys of up to 8 members, all keys at a time; comparing every two of them is never too much
             first = np.concatenate([np.arange(a, b - step) for a, b in zip(starts[:done][(size > step) & (size <= 8)], ends[:done][(size > step) & (size <= 8)], strict=True)] or [np.zeros(0, np.int64)])
-            near = first[np.bitwise_count(fps[first] ^ fps[first + step]).sum(1) <= RADIUS] if len(first) else first
-            found += forest(ids[near], ids[near + step])
+            close = first[np.bitwise_count(fps[first] ^ fps[first + step]).sum(1) <= RADIUS] if len(first) else first
+            found += forest(ids[close], ids[close + step])
+        tied = np.flatnonzero(near[: ends[done - 1]] if done else near[:0])
+        tied = tied[np.repeat(size <= 8, size)[tied]] if len(tied) else tied
+        found += forest(ids[tied], leaders[tied])
         for a, b in zip(starts[:done][size > 8], ends[:done][size > 8], strict=True):
-            found += group(ids[a:b], fps[a:b])
+            found += group(ids[a:b], fps[a:b], home[a:b], near[a:b], leaders[a:b])
         if found:
             yield out(found)
         at = len(keys) if batch is None else starts[-1]
@@ -156,18 +201,36 @@ def _forest(batches):
 LINKS = 2_000_000
 
 
+def links(first: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
+    """Pairs (a, b) of ids that connect the fingerprints that share a key and differ in RADIUS bits or fewer. first: n rows (id, fp).
+
+    A key of more than hot_key members is dealt over as many parts as hold that number. Its member with the smallest id leads:
+    members near the leader are linked with it and go to one part each; the rest, whose links could be to anyone, go to every
+    part. So each pair is compared or already linked, and a group of copies costs as much as it has members.
+    """
+    keys, bits = keys_for(n)
+    rows = first.select(F.explode(_keys_udf(keys, bits)("fp")).alias("key"), "id", "fp")
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter(F.col("n") > hot_key)
+    hot = saved(hot.join(first.select(F.col("id").alias("leader"), F.col("fp").alias("leader_fp")), "leader"))
+    plain = rows.join(small(hot, 100_000).select("key"), "key", "left_anti")
+    plain = plain.select("key", F.lit(0).alias("part"), "id", "fp", F.lit(True).alias("home"), F.lit(False).alias("near"), F.col("id").alias("leader"))
+    split = rows.join(small(hot, 100_000), "key").withColumn("near", _near_udf()("fp", "leader_fp")).withColumn("parts", F.ceil(F.col("n") / hot_key).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    split = split.withColumn("part", F.explode(F.when(F.col("near"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    split = split.select("key", "part", "id", "fp", (F.col("part") == F.col("own")).alias("home"), "near", "leader")
+    return plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linked, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that link at a similarity of about SIMILARITY or more, directly or in steps.
 
     The similarity of two documents is what their fingerprints over shingles of words tell. Documents of one fingerprint, such
     as exact copies and texts without words, are one from the start. Null ids take no part. No documents give no rows.
     """
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("x"))
-    fps = saved(rows.select("doc_id", "x.fp", "x.keys"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("fp"))
+    fps = saved(rows)
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    met = fps.join(first.select("id"), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    rows = met.select(F.explode("keys").alias("key"), "id", "fp").repartition("key").sortWithinPartitions("key")
-    pairs = saved(rows.mapInArrow(_linked, "a long, b long").distinct())
+    pairs = saved(links(first.select("id", "fp"), first.count()))
     pairs = pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long")  # each task of the step before had its own forest
     labels = components(pairs)
     ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))

@@ -216,6 +216,44 @@ def test_near_copies_fall_and_clean_documents_stay(spark):
     assert neardup.keep_one(docs(spark, [(1, "a", "s"), (1, "a", "s")])).count() == 1
 
 
+@pytest.mark.parametrize("hot_key", [16, 4096])
+def test_links_of_large_keys_equal_brute_force(spark, hot_key):
+    r = random.Random(3)
+    flip = lambda fp, n: fp ^ sum(1 << b for b in r.sample(range(256), n))
+    centre = r.getrandbits(256)
+    fps = {i: flip(centre, r.randrange(30)) for i in range(150)}  # one group, in which many share a key
+    fps |= {i: flip(centre, r.randrange(30, 70)) for i in range(150, 250)}  # about it, some linked with some of it
+    fps |= {i: r.getrandbits(256) for i in range(250, 400)}
+    want = []
+    keys, bits = neardup.keys_for(len(fps))
+    chosen = random.Random(5)
+    chosen = [sum(1 << b for b in chosen.sample(range(256), bits)) for _ in range(keys)]
+    for a in fps:
+        for b in range(a):
+            x = fps[a] ^ fps[b]
+            if x.bit_count() <= neardup.RADIUS and any(not x & k for k in chosen):
+                want.append((b, a))
+
+    def classes(pairs):
+        label = {i: i for i in fps}
+        for _ in range(len(fps)):
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    first = spark.createDataFrame([(i, bytearray(x.to_bytes(32, "little"))) for i, x in fps.items()], "id long, fp binary")
+    got = [(x.a, x.b) for x in neardup.links(first, len(fps), hot_key).collect()]
+    assert classes(got) == classes(want) and len(set(classes(want).values())) > 150
+
+
+def test_keys_keep_the_recall():
+    for n in (0, 1, 10**7, 10**8, 10**10):
+        keys, bits = neardup.keys_for(n)
+        assert 1 - (1 - 0.85**bits) ** keys >= 0.88 and n / 2**bits <= 64
+
+
 def test_licences(spark):
     mit = licenses.TEMPLATES[0][1]
     rows = [(1, f"x y\nReleased under the MIT licence.\nReleased under the MIT License!", "s"), (2, mit.upper(), "s"), (3, "no licence here", "s")]
