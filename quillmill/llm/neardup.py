@@ -20,8 +20,9 @@ BITS, KEYS, KEY_BITS = 256, 40, 18
 CHANCE = 64
 #: A key with more members than this is dealt over several tasks.
 HOT_KEY = 4096
-#: Most differing bits of a link: expected at 0.8 is 38.7 with a deviation of 5.7.
-RADIUS = 46
+#: Most differing bits of a link that is worth a comparison of shingle sets: expected at 0.8 is 38.7 with a deviation of 5.7.
+#: At SURE bits or fewer, where a pair below 0.8 is a matter of 1 in 200 even right at 0.8, the fingerprints decide.
+RADIUS, SURE = 52, 24
 N_PIVOTS = 4
 
 
@@ -50,14 +51,14 @@ def _keys_udf(keys: int, key_bits: int):
 
 
 def _near_udf():
-    """Whether two fingerprints differ in RADIUS bits or fewer."""
+    """Whether two fingerprints differ in SURE bits or fewer."""
 
     def near(a, b):
         import numpy as np
         import pyarrow as pa
 
         x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
-        return pa.array(np.bitwise_count(x ^ y).sum(1) <= RADIUS)
+        return pa.array(np.bitwise_count(x ^ y).sum(1) <= SURE)
 
     return F.arrow_udf(near, "boolean")
 
@@ -89,17 +90,12 @@ def _fingerprint_udf(shingle: int):
     return F.arrow_udf(fingerprints, "binary")
 
 
-def _linked(batches):
-    """From rows (key, part, id, fp, home, near, leader) in order of key and part, a forest of the links within a part of a key.
-
-    Members near the leader of a key are of one set from the start, and so are those near a part's first member where
-    none is near a leader; pairs within a set aren't compared. All other members are compared with the members that are at home in the part: distances to
-    the first members are a pivot table, pairs whose distances to some pivot differ by more than RADIUS go, survivors are
-    verified. Only pairs that join two sets are kept.
-    """
+def _least(edges):
+    """Of edges, a list of arrays (a, b, d), a forest that connects the same nodes by the edges of least d."""
     import numpy as np
-    import pyarrow as pa
 
+    a, b, d = (np.concatenate([e[i] for e in edges]) for i in range(3))
+    order = np.argsort(d, kind="stable")
     parent: dict[int, int] = {}
 
     def root(x):
@@ -107,25 +103,65 @@ def _linked(batches):
             parent[x] = x = parent.setdefault(y, y)
         return x
 
-    def forest(a, b):
-        out = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if x != y and (p := root(x)) != (q := root(y)):
-                parent[max(p, q)] = min(p, q)
-                out.append((min(x, y), max(x, y)))
-        return out
+    keep = []
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        if x != y and (p := root(x)) != (q := root(y)):
+            parent[max(p, q)] = min(p, q)
+            keep.append(k)
+    return np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]), d[keep]
+
+
+class _Edges:
+    """Edges of a partition, reduced to their forest each time they have doubled."""
+
+    def __init__(self):
+        self.parts, self.n, self.most = [], 0, 1 << 20
+
+    def add(self, a, b, d):
+        import numpy as np
+
+        if len(a):
+            self.parts.append((a, b, d.astype(np.int32)))
+            self.n += len(a)
+        if self.n > self.most:
+            self.parts = [_least(self.parts)]
+            self.n = len(self.parts[0][0])
+            self.most = max(1 << 20, 2 * self.n)
+
+    def batches(self):
+        import pyarrow as pa
+
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least(self.parts)], ["a", "b", "d"])
+
+
+def _linked(batches):
+    """From rows (key, part, id, fp, home, near, leader) in order of key and part, a forest (a, b, d) of the links within parts.
+
+    Members near the leader of a key are of one set from the start, and so are those near a part's first member where none is
+    near a leader; pairs within a set aren't compared. All other members are compared with the members that are at home in the
+    part: distances to the first members are a pivot table, pairs whose distances to some pivot differ by more than RADIUS
+    go, survivors are verified. d: differing bits, 0 for two members near one leader.
+    """
+    import numpy as np
+
+    edges = _Edges()
+
+    def forest(a, b, d=None):
+        edges.add(a, b, np.zeros(len(a), np.int32) if d is None else d)
 
     def group(ids, fps, home, near, leaders):
-        found = []
         if near.any():  # a tree: the leader, one member of each part, the others of the part
             one = ids[near][:1]
-            found += forest(one, leaders[near][:1]) + forest(np.broadcast_to(one, near.sum()), ids[near])
+            forest(one, leaders[near][:1])
+            forest(np.broadcast_to(one, near.sum()), ids[near])
         elif home.any():
             one = home.argmax()
-            near = home & (np.bitwise_count(fps ^ fps[one]).sum(1) <= RADIUS)
-            found += forest(np.broadcast_to(ids[one], near.sum()), ids[near])
+            far = np.bitwise_count(fps ^ fps[one]).sum(1)
+            near = home & (far <= SURE)
+            forest(np.broadcast_to(ids[one], near.sum()), ids[near], far[near])
         else:
-            return found
+            return
         table = np.bitwise_count(fps[:, None, :] ^ fps[None, :N_PIVOTS, :]).sum(2, dtype=np.int16)
         order = np.argsort(table[:, 0], kind="stable")
         ids, fps, table, home, near = ids[order], fps[order], table[order], home[order], near[order]
@@ -141,12 +177,9 @@ def _linked(batches):
             i, j = np.nonzero(keep)
             for part in range(0, len(i), 1 << 16):
                 x, y = block[i[part : part + (1 << 16)]], with_[j[part : part + (1 << 16)]]
-                close = np.bitwise_count(fps[x] ^ fps[y]).sum(1) <= RADIUS
-                found += forest(ids[x[close]], ids[y[close]])
-        return found
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+                far = np.bitwise_count(fps[x] ^ fps[y]).sum(1)
+                close = far <= RADIUS
+                forest(ids[x[close]], ids[y[close]], far[close])
 
     rest = None
     for batch in [*batches, None]:
@@ -160,41 +193,65 @@ def _linked(batches):
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])]))
         ends = np.append(starts[1:], len(keys))
         done = len(starts) if batch is None else len(starts) - 1  # the last key may go on in the next batch
-        found = []
         size = (ends - starts)[:done]
         for step in range(1, 8):  # keys of up to 8 members, all keys at a time; comparing every two of them is never too much
             first = np.concatenate([np.arange(a, b - step) for a, b in zip(starts[:done][(size > step) & (size <= 8)], ends[:done][(size > step) & (size <= 8)], strict=True)] or [np.zeros(0, np.int64)])
-            close = first[np.bitwise_count(fps[first] ^ fps[first + step]).sum(1) <= RADIUS] if len(first) else first
-            found += forest(ids[close], ids[close + step])
+            far = np.bitwise_count(fps[first] ^ fps[first + step]).sum(1)
+            close = first[far <= RADIUS]
+            forest(ids[close], ids[close + step], far[far <= RADIUS])
         tied = np.flatnonzero(near[: ends[done - 1]] if done else near[:0])
         tied = tied[np.repeat(size <= 8, size)[tied]] if len(tied) else tied
-        found += forest(ids[tied], leaders[tied])
+        forest(ids[tied], leaders[tied])
         for a, b in zip(starts[:done][size > 8], ends[:done][size > 8], strict=True):
-            found += group(ids[a:b], fps[a:b], home[a:b], near[a:b], leaders[a:b])
-        if found:
-            yield out(found)
+            group(ids[a:b], fps[a:b], home[a:b], near[a:b], leaders[a:b])
         at = len(keys) if batch is None else starts[-1]
         rest = tuple(r[at:] for r in rest)
+    yield from edges.batches()
 
 
 def _forest(batches):
-    """A forest of the links (a, b) of a partition."""
-    import pyarrow as pa
+    """A forest of the links (a, b, d) of a partition, by least d."""
+    edges = _Edges()
+    for batch in batches:
+        edges.add(*(batch.column(i).to_numpy() for i in range(3)))
+    yield from edges.batches()
 
-    parent: dict[int, int] = {}
 
-    def root(x):
-        while (y := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(y, y)
-        return x
+def _set_udf(shingle: int):
+    """text to its distinct shingle hashes in order, 8 bytes each."""
 
-    for batch in batches:
-        found = []
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if (p := root(x)) != (q := root(y)):
-                parent[max(p, q)] = min(p, q)
-                found.append((x, y))
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def sets(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        data, offsets = utf8(texts)
+        each = ([np.zeros(0, np.uint64), *_hashes(data[a:b].tobytes(), shingle)] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+        return pa.array([np.unique(np.concatenate(x)).tobytes() for x in each], pa.binary())
+
+    return F.arrow_udf(sets, "binary")
+
+
+def _jaccard_udf():
+    def jaccard(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(jaccard, "double")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have SIMILARITY or more. docs: (doc_id, text); of texts with one id any may count."""
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = saved(docs.join(small(ids), "doc_id", "left_semi").select("doc_id", _set_udf(shingle)("text").alias("s")))
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    return met.select("a", "b", _jaccard_udf()("x", "y").alias("j")).filter(F.col("j") >= SIMILARITY).select("a", "b").distinct()
 
 
 #: Links that one task reduces to a forest.
@@ -202,7 +259,7 @@ LINKS = 2_000_000
 
 
 def links(first: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
-    """Pairs (a, b) of ids that connect the fingerprints that share a key and differ in RADIUS bits or fewer. first: n rows (id, fp).
+    """Pairs (a, b, d) of ids that connect the fingerprints that share a key and differ in RADIUS bits or fewer. first: n rows (id, fp).
 
     A key of more than hot_key members is dealt over as many parts as hold that number. Its member with the smallest id leads:
     members near the leader are linked with it and go to one part each; the rest, whose links could be to anyone, go to every
@@ -218,21 +275,24 @@ def links(first: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
     split = split.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     split = split.withColumn("part", F.explode(F.when(F.col("near"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     split = split.select("key", "part", "id", "fp", (F.col("part") == F.col("own")).alias("home"), "near", "leader")
-    return plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linked, "a long, b long").distinct()
+    return plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linked, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that link at a similarity of about SIMILARITY or more, directly or in steps.
 
-    The similarity of two documents is what their fingerprints over shingles of words tell. Documents of one fingerprint, such
-    as exact copies and texts without words, are one from the start. Null ids take no part. No documents give no rows.
+    Fingerprints over shingles of words tell which documents may link; of these links a forest of the least distances stays, and
+    its links of more than SURE bits are checked by the shingle sets. Documents of one fingerprint, such as exact copies and
+    texts without words, are one from the start. Null ids take no part. No documents give no rows.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("fp"))
     fps = saved(rows)
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     pairs = saved(links(first.select("id", "fp"), first.count()))
-    pairs = pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long")  # each task of the step before had its own forest
-    labels = components(pairs)
+    # each task of the step before had its own forest
+    pairs = saved(pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long, d int"))
+    checked = similar(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pairs.filter(F.col("d") > SURE).select("a", "b"), shingle)
+    labels = components(saved(pairs.filter(F.col("d") <= SURE).select("a", "b").unionByName(checked)))
     ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))
     return join_hot(fps.select("doc_id", "fp"), ids, "fp", "n").select("doc_id", "component_id")
 

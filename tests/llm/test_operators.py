@@ -248,6 +248,23 @@ def test_links_of_large_keys_equal_brute_force(spark, hot_key):
     assert classes(got) == classes(want) and len(set(classes(want).values())) > 150
 
 
+def test_near_duplicates_are_as_similar_as_they_should_be(spark):
+    r = random.Random(8)
+    base = {i: [f"w{r.randrange(10**6)}" for _ in range(400)] for i in range(20)}
+    rows, like = [(i, " ".join(w), "s") for i, w in base.items()], {}
+    for i, w in base.items():
+        for k, n in enumerate((2, 4, 16, 24), 1):  # words changed, five apart or more: 5 shingles each of 396
+            changed = list(w)
+            for at in r.sample(range(0, 396, 6), n):
+                changed[at] = "new"
+            rows.append((1000 * k + i, " ".join(changed), "s"))
+            a, b = ({tuple(x[q : q + 5]) for q in range(396)} for x in (w, changed))
+            like[1000 * k + i] = len(a & b) / len(a | b)
+    got = {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()}
+    assert all(got[i] == i % 1000 for i, j in like.items() if j >= 0.87)
+    assert all(got[i] != i % 1000 for i, j in like.items() if j < 0.8) and {j < 0.8 for j in like.values()} == {True, False}
+
+
 def test_keys_keep_the_recall():
     for n in (0, 1, 10**7, 10**8, 10**10):
         keys, bits = neardup.keys_for(n)
