@@ -42,8 +42,8 @@ def system_text(system: Column, tools: Column) -> Column:
     return F.nullif(F.concat_ws("\n\n", said, listed), F.lit(""))
 
 
-def segments(messages: Column, generation_prompt: bool = False, system: Column | None = None) -> Column:
-    """array<struct<text, supervised>> of messages, an array of structs with role and content, and thinking and calls if any.
+def segments(messages: Column, generation_prompt: bool = False, system: Column | None = None, full: bool = False) -> Column:
+    """array<struct<text, supervised>> of messages, an array of structs with role and content, and if `full` thinking and calls.
 
     Headers, users', systems' and tools' words aren't supervised; the assistant's thinking, words, calls and end mark are. With
     a `system` text that isn't null, that comes first and the messages' own system turns go.
@@ -58,8 +58,16 @@ def segments(messages: Column, generation_prompt: bool = False, system: Column |
         r, c = role(m["role"]), F.coalesce(m["content"], F.lit(""))
         own = r == "assistant"
         body = F.when(r == "tool", F.concat(F.lit("<tool_response>\n"), c, F.lit("\n</tool_response>"))).otherwise(c)
-        parts = F.array(seg(F.concat(F.lit("<|im_start|>"), r, F.lit("\n")), no), seg(body, own), seg(F.lit("<|im_end|>"), own), seg(F.lit("\n"), no))
-        return F.filter(parts, lambda s, i: (i != 1) | ~own | (s["text"] != ""))
+        thinking, called = [], []
+        if full:  # empty where a turn has none
+            blocks = F.transform(m["calls"], lambda j: F.concat(F.lit("<tool_call>\n"), j, F.lit("\n</tool_call>")))
+            some = own & (F.coalesce(F.size(m["calls"]), F.lit(0)) > 0)
+            thought = F.concat(F.lit("<think>\n"), m["thinking"], F.lit("\n</think>\n"))
+            thinking = [seg(F.when(own & (F.coalesce(m["thinking"], F.lit("")) != ""), thought).otherwise(""), own)]
+            called = [seg(F.when(some, F.concat(F.when(c != "", "\n").otherwise(""), F.array_join(blocks, "\n"))).otherwise(""), own)]
+        said = F.filter(F.array(*thinking, seg(body, own), *called), lambda s, i: (s["text"] != "") | (~own & (i == len(thinking))))
+        head = F.array(seg(F.concat(F.lit("<|im_start|>"), r, F.lit("\n")), no))
+        return F.concat(head, said, F.array(seg(F.lit("<|im_end|>"), own), seg(F.lit("\n"), no)))
 
     kept = messages if system is None else F.filter(messages, lambda m: system.isNull() | (role(m["role"]) != "system"))
     out = F.flatten(F.transform(kept, turn))

@@ -69,12 +69,14 @@ def clean(c: Column, source: Column, unicode: bool = True) -> Column:
     return F.when(source.isin(*BOILERPLATE_SOURCES), strip(collapse_blank_lines(strip_boilerplate(n)))).otherwise(n)
 
 
+def unescape(text: str) -> str:
+    r"""Runs of \uXXXX in one text decoded as UTF-16."""
+    return re.sub(r"(?:\\u[0-9a-fA-F]{4})+", lambda m: bytes.fromhex(m.group(0).replace("\\u", "")).decode("utf-16-be", "replace"), text)
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(texts):
-    def one(m):
-        return bytes.fromhex(m.group(0).replace("\\u", "")).decode("utf-16-be", "replace")
-
-    return texts.map(lambda t: t if t is None else re.sub(r"(?:\\u[0-9a-fA-F]{4})+", one, t))
+    return texts.map(lambda t: t if t is None else unescape(t))
 
 
 def decode_escapes(c: Column) -> Column:

@@ -73,6 +73,31 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(path))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    _, p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
+def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files under a path, in order of their names; those that begin with a sign of Spark's own go."""
+    _, p, fs = _file(spark, path)
+    found, each, base = [], fs.listFiles(p, True), str(fs.getFileStatus(p).getPath().toString())
+    while each.hasNext():
+        f = each.next()
+        name = f.getPath().toString()[len(base) + 1 :] or f.getPath().getName()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append((name, int(f.getLen())))
+    return sorted(found)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; one that isn't there is an error."""
+    _, p, fs = _file(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     _, p, fs = _file(spark, f"{path}/manifest.json")
     if not fs.exists(p):
@@ -99,7 +124,7 @@ def write(df: DataFrame, path: str, descriptor: dict, shard_tokens: int, vocab_s
     kind = "smallint" if vocab_size - 1 <= 32767 else "int"
     rows = assign_shards(df, "ids", "ordinal", shard_tokens).withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
     rows.repartition("shard_id").sortWithinPartitions("shard_id", "ordinal").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
-    made = digests(spark.read.parquet(f"{path}/shards"), labelled).orderBy("shard_id").collect()
+    made = digests(spark.read.schema(rows.schema).parquet(f"{path}/shards"), labelled).orderBy("shard_id").collect()
     manifest = {"version": VERSION, "build": descriptor, "dtype": "int16" if kind == "smallint" else "int32", "stores_labels": labelled, "tokens": sum(r.tokens for r in made), "documents": sum(r.documents for r in made), "shards": [r.asDict() for r in made]}
     _write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True, default=str))
     return manifest

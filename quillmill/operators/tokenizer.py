@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from functools import lru_cache
 
@@ -47,6 +48,15 @@ def merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
+def _first(pair: tuple[int, int], among: set[int], words: list[list[int]]) -> tuple[int, int]:
+    """Where a pair occurs first: word and place."""
+    for i in sorted(among):
+        for k, p in enumerate(zip(words[i], words[i][1:], strict=False)):
+            if p == pair:
+                return i, k
+    return len(words), 0
+
+
 class BytePairs:
     """Byte-pair merges: specials first, then the 256 bytes, then merges in order."""
 
@@ -65,21 +75,52 @@ class BytePairs:
         if size < 256 + len(specials):
             raise ValueError("vocabulary size must be at least 256 and the specials")
         base = len(specials)
-        words = [([base + b for b in w.encode()], n) for w, n in counts]
+        words = [[base + b for b in w.encode("utf-8", "replace")] for w, _ in counts]
+        times = [n for _, n in counts]
+        seen: dict[tuple[int, int], int] = {}
+        at: dict[tuple[int, int], set[int]] = {}  # words that may hold a pair
+        for i, ids in enumerate(words):
+            for p in zip(ids, ids[1:], strict=False):
+                seen[p] = seen.get(p, 0) + times[i]
+                at.setdefault(p, set()).add(i)
+        heap = [(-n, p) for p, n in seen.items()]
+        heapq.heapify(heap)
         merges: list[tuple[int, int]] = []
-        while base + 256 + len(merges) < size:
-            seen: dict[tuple[int, int], int] = {}
-            for ids, n in words:
-                for p in zip(ids, ids[1:], strict=False):
-                    seen[p] = seen.get(p, 0) + n
-            best = max(seen, key=seen.get, default=None)
-            if best is None or seen[best] < least:
+        while base + 256 + len(merges) < size and heap:
+            n = -heap[0][0]
+            tied: set[tuple[int, int]] = set()
+            while heap and -heap[0][0] == n:
+                p = heapq.heappop(heap)[1]
+                if seen.get(p) == n:  # older counts are stale
+                    tied.add(p)
+            if not tied:
+                continue
+            if n < least:
                 break
-            new = base + 256 + len(merges)
+            best = min(tied, key=lambda p: _first(p, at[p], words)) if len(tied) > 1 else next(iter(tied))
+            new, changed = base + 256 + len(merges), tied - {best}
             merges.append(best)
-            words = [(merge(ids, best, new) if best[0] in ids else ids, n) for ids, n in words]
+            for i in at.pop(best):
+                ids = words[i]
+                words[i] = merged = merge(ids, best, new)
+                if len(merged) == len(ids):
+                    continue
+                for sign, form in ((-1, ids), (1, merged)):
+                    for p in zip(form, form[1:], strict=False):
+                        seen[p] = seen.get(p, 0) + sign * times[i]
+                        changed.add(p)
+                        if sign > 0:
+                            at.setdefault(p, set()).add(i)
+            seen.pop(best, None)
+            for p in changed - {best}:
+                if seen.get(p, 0) > 0:
+                    heapq.heappush(heap, (-seen[p], p))
         return cls(merges, specials)
 
+    @property
+    def vocab_size(self) -> int:
+        return self.base + 256 + len(self.merges)
+
     def _word(self, word: str) -> tuple[int, ...]:
         ids = [self.base + b for b in word.encode("utf-8", "replace")]
         while len(ids) > 1:
