@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,32 +91,61 @@ def _fingerprint_udf(shingle: int):
     return F.arrow_udf(fingerprints, "binary")
 
 
-def _least(edges):
-    """Of edges, a list of arrays (a, b, d), a forest that connects the same nodes by the edges of least d."""
-    import numpy as np
+class _Roots:
+    """Sets of nodes."""
 
-    a, b, d = (np.concatenate([e[i] for e in edges]) for i in range(3))
-    order = np.argsort(d, kind="stable")
-    parent: dict[int, int] = {}
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def root(x):
+    def root(self, x: int) -> int:
+        parent = self.parent
         while (y := parent.setdefault(x, x)) != x:
             parent[x] = x = parent.setdefault(y, y)
         return x
 
-    keep = []
-    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        if x != y and (p := root(x)) != (q := root(y)):
-            parent[max(p, q)] = min(p, q)
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were in different sets."""
+        p, q = self.root(x), self.root(y)
+        if p == q:
+            return False
+        self.parent[max(p, q)] = min(p, q)
+        return True
+
+
+def _least(edges, depth: int):
+    """Of edges, a list of arrays (a, b, d), those that the groups need, by least d.
+
+    Of edges of SURE bits or fewer a forest stays. Of the others, which a check may refuse, `depth` forests without common edges
+    stay over what the sure ones connect. Where more are left out, a mark (x, x, -1) tells so of x's group.
+    """
+    import numpy as np
+
+    a, b, d = (np.concatenate([e[i] for e in edges]) for i in range(3))
+    order = np.argsort(d, kind="stable")
+    a, b, d = a[order], b[order], d[order]
+    marks, sure = np.searchsorted(d, [0, SURE + 1])
+    base = _Roots()
+    keep = [k for k, (x, y) in enumerate(zip(a[marks:sure].tolist(), b[marks:sure].tolist(), strict=True), int(marks)) if base.join(x, y)]
+    forests, more = [_Roots() for _ in range(depth)], {base.root(x) for x in a[:marks].tolist()}
+    kept: set[tuple[int, int]] = set()
+    for k, (x, y) in enumerate(zip(a[sure:].tolist(), b[sure:].tolist(), strict=True), int(sure)):
+        p, q = base.root(x), base.root(y)
+        if p == q or (min(x, y), max(x, y)) in kept:
+            continue
+        if any(f.join(p, q) for f in forests):
             keep.append(k)
-    return np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]), d[keep]
+            kept.add((min(x, y), max(x, y)))
+        else:
+            more.add(p)
+    marked = np.fromiter(more, np.int64, len(more))
+    return tuple(np.concatenate(x) for x in zip((np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]), d[keep]), (marked, marked, np.full(len(more), -1, np.int32)), strict=True))
 
 
 class _Edges:
-    """Edges of a partition, reduced to their forest each time they have doubled."""
+    """Edges of a partition, reduced to those that groups need each time they have doubled."""
 
-    def __init__(self):
-        self.parts, self.n, self.most = [], 0, 1 << 20
+    def __init__(self, depth: int):
+        self.parts, self.n, self.most, self.depth = [], 0, 1 << 20, depth
 
     def add(self, a, b, d):
         import numpy as np
@@ -124,7 +154,7 @@ class _Edges:
             self.parts.append((a, b, d.astype(np.int32)))
             self.n += len(a)
         if self.n > self.most:
-            self.parts = [_least(self.parts)]
+            self.parts = [_least(self.parts, self.depth)]
             self.n = len(self.parts[0][0])
             self.most = max(1 << 20, 2 * self.n)
 
@@ -132,20 +162,21 @@ class _Edges:
         import pyarrow as pa
 
         if self.parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least(self.parts)], ["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least(self.parts, self.depth)], ["a", "b", "d"])
 
 
-def _linked(batches):
-    """From rows (key, part, id, fp, home, near, leader) in order of key and part, a forest (a, b, d) of the links within parts.
+def _linked(batches, depth: int = 1):
+    """From rows (key, part, id, fp, home, near, leader) in order of key and part, the links (a, b, d) within parts, reduced by _least.
 
     Members near the leader of a key are of one set from the start, and so are those near a part's first member where none is
     near a leader; pairs within a set aren't compared. All other members are compared with the members that are at home in the
     part: distances to the first members are a pivot table, pairs whose distances to some pivot differ by more than RADIUS
-    go, survivors are verified. d: differing bits, 0 for two members near one leader.
+    go, survivors are verified. d: differing bits, 0 for two members near one leader. The leader of a member that isn't near one
+    is the smallest id of those it is known to be with.
     """
     import numpy as np
 
-    edges = _Edges()
+    edges = _Edges(depth)
 
     def forest(a, b, d=None):
         edges.add(a, b, np.zeros(len(a), np.int32) if d is None else d)
@@ -199,7 +230,10 @@ def _linked(batches):
             far = np.bitwise_count(fps[first] ^ fps[first + step]).sum(1)
             close = first[far <= RADIUS]
             forest(ids[close], ids[close + step], far[far <= RADIUS])
-        tied = np.flatnonzero(near[: ends[done - 1]] if done else near[:0])
+        whole = int(ends[done - 1]) if done else 0
+        known = np.flatnonzero(~near[:whole] & (leaders[:whole] != ids[:whole]))
+        forest(ids[known], leaders[known])
+        tied = np.flatnonzero(near[:whole])
         tied = tied[np.repeat(size <= 8, size)[tied]] if len(tied) else tied
         forest(ids[tied], leaders[tied])
         for a, b in zip(starts[:done][size > 8], ends[:done][size > 8], strict=True):
@@ -209,9 +243,9 @@ def _linked(batches):
     yield from edges.batches()
 
 
-def _forest(batches):
-    """A forest of the links (a, b, d) of a partition, by least d."""
-    edges = _Edges()
+def _reduced(batches, depth: int = 1):
+    """The links (a, b, d) of a partition, reduced by _least."""
+    edges = _Edges(depth)
     for batch in batches:
         edges.add(*(batch.column(i).to_numpy() for i in range(3)))
     yield from edges.batches()
@@ -258,45 +292,76 @@ def similar(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFr
 LINKS = 2_000_000
 
 
-def links(first: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
-    """Pairs (a, b, d) of ids that connect the fingerprints that share a key and differ in RADIUS bits or fewer. first: n rows (id, fp).
+def links(first: DataFrame, n: int, hot_key: int = HOT_KEY, depth: int = 1) -> DataFrame:
+    """Pairs (a, b, d) of ids that connect the fingerprints that share a key and differ in RADIUS bits or fewer, reduced by _least in
+    each task. first: (id, fp, label), of n in all; label: the smallest id of those that the id is known to be with.
 
     A key of more than hot_key members is dealt over as many parts as hold that number. Its member with the smallest id leads:
     members near the leader are linked with it and go to one part each; the rest, whose links could be to anyone, go to every
     part. So each pair is compared or already linked, and a group of copies costs as much as it has members.
     """
     keys, bits = keys_for(n)
-    rows = first.select(F.explode(_keys_udf(keys, bits)("fp")).alias("key"), "id", "fp")
+    rows = first.select(F.explode(_keys_udf(keys, bits)("fp")).alias("key"), "id", "fp", "label")
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter(F.col("n") > hot_key)
     hot = saved(hot.join(first.select(F.col("id").alias("leader"), F.col("fp").alias("leader_fp")), "leader"))
     plain = rows.join(small(hot, 100_000).select("key"), "key", "left_anti")
-    plain = plain.select("key", F.lit(0).alias("part"), "id", "fp", F.lit(True).alias("home"), F.lit(False).alias("near"), F.col("id").alias("leader"))
+    plain = plain.select("key", F.lit(0).alias("part"), "id", "fp", F.lit(True).alias("home"), F.lit(False).alias("near"), F.col("label").alias("leader"))
     split = rows.join(small(hot, 100_000), "key").withColumn("near", _near_udf()("fp", "leader_fp")).withColumn("parts", F.ceil(F.col("n") / hot_key).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     split = split.withColumn("part", F.explode(F.when(F.col("near"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    split = split.select("key", "part", "id", "fp", (F.col("part") == F.col("own")).alias("home"), "near", "leader")
-    return plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linked, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    split = split.select("key", "part", "id", "fp", (F.col("part") == F.col("own")).alias("home"), "near", F.when(F.col("near"), F.col("leader")).otherwise(F.col("label")).alias("leader"))
+    return plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda batches: _linked(batches, depth), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that link at a similarity of about SIMILARITY or more, directly or in steps.
 
-    Fingerprints over shingles of words tell which documents may link; of these links a forest of the least distances stays, and
-    its links of more than SURE bits are checked by the shingle sets. Documents of one fingerprint, such as exact copies and
-    texts without words, are one from the start. Null ids take no part. No documents give no rows.
+    Fingerprints over shingles of words tell which documents may link. Links of SURE bits or fewer count; of the others, forests
+    are checked by the shingle sets, and groups in which a check refused a link while others were left out are searched again
+    for eight times as many, until none is left out: so no link is lost for one that stood for it. Documents of one fingerprint,
+    such as exact copies and texts without words, are one from the start. Null ids take no part. No documents give no rows.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("fp"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fps = saved(rows)
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    pairs = saved(links(first.select("id", "fp"), first.count()))
-    # each task of the step before had its own forest
-    pairs = saved(pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long, d int"))
-    checked = similar(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pairs.filter(F.col("d") > SURE).select("a", "b"), shingle)
-    labels = components(saved(pairs.filter(F.col("d") <= SURE).select("a", "b").unionByName(checked)))
+    labels = connected(first.select("id", "fp"), texts, shingle)
     ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))
     return join_hot(fps.select("doc_id", "fp"), ids, "fp", "n").select("doc_id", "component_id")
 
 
+def connected(first: DataFrame, texts: DataFrame, shingle: int = SHINGLE, hot_key: int = HOT_KEY) -> DataFrame:
+    """(node, label) of the linked ones among first (id, fp), a checkpoint; label: the smallest id of the group. texts: (doc_id, text)."""
+    n, depth = first.count(), 1
+    searched = first.withColumn("label", F.col("id"))
+    good = refused = None
+    while True:
+        reduced = partial(_reduced, depth=depth)
+        found = saved(links(searched, n, hot_key, depth))
+        # each task of the step before had its own forests
+        found = saved(found.repartition(max(4, found.count() // LINKS)).mapInArrow(reduced, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d")))
+        check = found.filter(F.col("d") > SURE).select("a", "b")
+        check = saved(check if refused is None else check.join(refused, ["a", "b"], "left_anti"))
+        passed = saved(similar(texts, check, shingle))
+        new = found.filter(F.col("d").between(0, SURE)).select("a", "b").unionByName(passed)
+        good = saved(new if good is None else good.unionByName(new).distinct())
+        labels = components(good)
+        failed = check.join(passed, ["a", "b"], "left_anti")
+        refused = saved(failed if refused is None else refused.unionByName(failed))
+        marks = found.filter("d < 0").select(F.col("a").alias("node"))
+        if refused.isEmpty() or marks.isEmpty():
+            return labels
+        parts = components(saved(found.filter("d >= 0").select("a", "b")))
+        of_refused = refused.join(found.select("a", "b"), ["a", "b"], "left_semi").select(F.col("a").alias("node"))
+        part = lambda nodes: nodes.join(parts, "node").select("label").distinct()
+        again = saved(parts.join(part(marks), "label", "left_semi").join(part(of_refused), "label", "left_semi").select(F.col("node").alias("id")))
+        if again.isEmpty():
+            return labels
+        known = labels.select(F.col("node").alias("id"), "label")
+        searched = saved(first.join(again, "id").join(known, "id", "left").select("id", "fp", F.coalesce("label", "id").alias("label")))
+        depth *= 8
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs, all columns, with the smallest id of each near-duplicate group; of rows with one id, one stays. Rows without id stay."""
     found = saved(groups(docs, shingle))
