@@ -164,3 +164,36 @@ def same_tokenizer(sources: list[dict]) -> dict:
         if len({json.dumps(s.get(key)) for s in sources}) > 1:
             raise ValueError(f"sources differ in {key}")
     return sources[0]
+
+
+def request_pairs(df: DataFrame, tokenizer: BytePairs, context: str, answer: str, prefix: int, bos: int | None = None) -> DataFrame:
+    """df with context_ids and answer_ids of evaluation requests.
+
+    White space at a context's end goes to the answer, whose tokens are those of both texts after as many as the context has; bos
+    comes before the context. An empty context is the prefix token, which an answer that begins with it gives itself.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def one(c: str, a: str) -> tuple[list[int], list[int]]:
+        encode = shared.value.encode
+        if not c:
+            ids = encode(a)
+            return (ids[:1], ids[1:]) if ids[:1] == [prefix] else ([prefix], ids)
+        head = encode(c.rstrip())
+        return ([] if bos is None else [bos]) + head, encode(c + a)[len(head) :]
+
+    def run(contexts, answers):
+        import pyarrow as pa
+
+        made = [one(c or "", a or "") for c, a in zip(contexts.to_pylist(), answers.to_pylist(), strict=True)]
+        return pa.array([{"c": c, "a": a} for c, a in made], pa.struct([("c", pa.list_(pa.int32())), ("a", pa.list_(pa.int32()))]))
+
+    pair = F.arrow_udf(run, "struct<c array<int>, a array<int>>")(F.col(context), F.col(answer))
+    return df.withColumn("_pair", pair).withColumns({"context_ids": F.col("_pair.c"), "answer_ids": F.col("_pair.a")}).drop("_pair")
+
+
+def valid_tags(tags, subjects: list[str], formats: list[str]):
+    """Whether an array of tags holds 1 to 4 different known ones, a subject first, at most three subjects and one format; null is not."""
+    known = lambda names: F.size(F.array_intersect(tags, F.array(*map(F.lit, names))))
+    fits = (F.size(tags) == F.size(F.array_distinct(tags))) & F.size(tags).between(1, 4) & (known([*subjects, *formats]) == F.size(tags))
+    return F.coalesce(fits & F.coalesce(F.get(tags, F.lit(0)).isin(subjects), F.lit(False)) & (known(subjects) <= 3) & (known(formats) <= 1), F.lit(False))

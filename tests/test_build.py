@@ -147,3 +147,14 @@ def test_tokenizer_suite_and_held_out(spark):
     assert made["290"][0].merges == build.resolve(spark, df, 290).merges
     with pytest.raises(ValueError):
         build.same_tokenizer([{"seq_len": 1}, {"seq_len": 2}])
+
+
+def test_request_pairs_and_tags(spark):
+    t = BytePairs.train([("the", 5), (" cat", 4)], 280, chat.SPECIAL_TOKENS)
+    rows = [("the  ", "cat"), ("", "cat"), ("", ""), ("", "<|startoftext|>cat"), (None, "the")]
+    df = build.request_pairs(spark.createDataFrame(rows, "c string, a string"), t, "c", "a", prefix=1, bos=1)
+    got = [(list(r.context_ids), list(r.answer_ids)) for r in df.collect()]
+    assert got[0] == ([1, *t.encode("the")], t.encode("the  cat")[len(t.encode("the")) :])
+    assert got[1:] == [([1], t.encode("cat")), ([1], []), ([1], t.encode("cat")), ([1], t.encode("the"))]
+    tags = spark.createDataFrame([(["A", "B", "C", "f"],), (["f", "A"],), (["A", "A"],), ([],), (["A", "f", "g"],), (["A", "x"],), (["A", "B", "C", "D"],), (None,)], "t array<string>")
+    assert [r[0] for r in tags.select(build.valid_tags(F.col("t"), list("ABCD"), ["f", "g"])).collect()] == [True] + [False] * 7
