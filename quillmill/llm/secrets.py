@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: A candidate: a run of key characters, after white space or one of the signs that stand before values.
+#: A candidate: a run of key characters, after white space or one of the signs that stand before values. Signs = after it are
+#: its padding, unless a value follows them.
 LEAST = 12
 MAYBE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
-VALUE = rf"(?:^|[=:\"'`(\[{{<,;])({MAYBE}={{0,2}})"
+VALUE = rf"(?:^|(?<=[=:\"'`(\[{{<,;])){MAYBE}+(?:={{1,2}}(?!=|[\"'`]?[A-Za-z0-9+/_-]))?"
+#: Stand before and after each candidate of a word while it is taken apart; no text has a meaning for them.
+OPEN, SHUT = "\ufdd0", "\ufdd1"
 KEYWORD = r"(?i)(passw|passphrase|pwd|secret|token|api_?-?key|access_?-?key|auth|credential|private)"
 DECOY = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|sha\d|md5|checksum|digest|commit|uuid|etag|integrity|revision|http|www)"
 PATHS = r"(?i)(test|example|sample|doc|fixture|mock)"
@@ -151,24 +154,29 @@ def _forest(spark: SparkSession) -> list:
 def scan(docs: DataFrame, text_col: str = "text", path_col: str = "source", out_col: str = "findings", least: float = 0.5) -> DataFrame:
     """docs with an array of structs (word long, value, score, secret boolean), one for each candidate in the whole text.
 
-    A candidate is the first run of 12 or more key characters of a word between white space, after the word's start or a sign
-    like = or a quote; word is the word's number from 0. Its score is the forest's mean vote, and it is a secret from `least`
-    up. Null and empty texts have an empty array, a null path counts as none, repeated rows and values stay repeated.
+    A candidate is any run of 12 or more key characters of a word between white space, after the word's start or a sign
+    like = or a quote; word is the word's number from 0. What stands before it reaches back to the candidate before it in its
+    word, or over two words. Its score is the forest's mean vote, and it is a secret from `least` up. Null and empty texts
+    have an empty array, a null path counts as none, repeated rows and values stay repeated.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.split(text, r"\s+")
     k = free_name(docs, out_col)
     w, c = f"{k}_words", f"{k}_at"
     rows = docs.withColumn(w, F.when(F.regexp_like(text, F.lit(MAYBE)), words).otherwise(F.array().cast("array<string>")))
-    at = F.filter(
-        F.transform(F.col(w), lambda x, i: F.struct(i.alias("word"), F.regexp_extract(x, VALUE, 1).alias("value"))), lambda s: s["value"] != ""
-    )
-    rows = rows.withColumn(c, at)
+    def parts(x):
+        return F.split(F.regexp_replace(F.translate(x, OPEN + SHUT, "  "), VALUE, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
+
+    def of_word(s):  # every second part is a candidate
+        each = F.transform(s["parts"], lambda p, i: F.struct(i.alias("part"), s["word"].alias("word"), p.alias("value"), F.concat(F.coalesce(F.get(s["parts"], i - 2), F.lit("")), F.coalesce(F.get(s["parts"], i - 1), F.lit(""))).alias("head")))
+        return F.filter(each, lambda e: e["part"] % 2 == 1)
+
+    words_of = F.filter(F.transform(F.col(w), lambda x, i: F.struct(i.alias("word"), F.regexp_like(x, F.lit(VALUE)).alias("any"), x.alias("x"))), lambda s: s["any"])
+    rows = rows.withColumn(c, F.flatten(F.transform(F.transform(words_of, lambda s: F.struct(s["word"].alias("word"), parts(s["x"]).alias("parts"))), of_word)))
 
     def one(s):
-        raw = F.get(F.col(w), s["word"])
-        head = F.call_function("substring_index", raw, s["value"], F.lit(1))
-        before = F.concat_ws(" ", F.coalesce(F.get(F.col(w), s["word"] - 2), F.lit("")), F.coalesce(F.get(F.col(w), s["word"] - 1), F.lit("")), head)
+        two = F.concat_ws(" ", F.coalesce(F.get(F.col(w), s["word"] - 2), F.lit("")), F.coalesce(F.get(F.col(w), s["word"] - 1), F.lit("")), s["head"])
+        before = F.when(s["part"] == 1, two).otherwise(s["head"])
         after = F.coalesce(F.get(F.col(w), s["word"] + 1), F.lit(""))
         return F.struct(s["word"].cast("long").alias("word"), s["value"].alias("value"), F.array(*features(s["value"], F.regexp_replace(before, r"\s+$", ""), after, F.col(path_col).cast("string"))).alias("x"))
 
@@ -184,7 +192,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns, with every secret in text replaced by a mark wherever its value stands; n_chars, if there, follows."""
     k = free_name(docs)
     found = scan(docs, out_col=k)
-    text = F.aggregate(F.filter(F.col(k), lambda s: s["secret"]), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    # the longest first, as a value can be part of another
+    values = F.array_distinct(F.transform(F.filter(F.col(k), lambda s: s["secret"]), lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value"))))
+    text = F.aggregate(F.array_sort(values), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.exists(F.col(k), lambda s: s["secret"]), F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -150,6 +150,15 @@ def test_secrets_equal_the_plain_forest(spark):
     assert out[3].text == "password=[SECRET] x" and out[3].n_chars == len(out[3].text) and out[4].text == rows[3][1]
 
 
+def test_secrets_find_every_value_of_a_word(spark):
+    a, b, c = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "wJalrXUtnFEMI7K8MDENGbPxRfiCYzk3q9TmLp2v", "b7db7aa4a5fcc78305"
+    rows = [(1, f"client_secret={a} x", "s"), (2, f'AWS_SECRET_ACCESS_KEY="{b}"', "s"), (3, f"password={c};api_key={a}", "s"), (4, f'{{"api_key":"{a}","client_secret":"{b}","n":1}}', "s"), (5, f"see ?token={a}&auth_token={b}== x", "s"), (6, f"password={a},secret={a}{c}", "s")]
+    found = {r.doc_id: [s.value for s in r.findings if s.secret] for r in secrets.scan(docs(spark, rows)).collect()}
+    assert found == {1: [a], 2: [b], 3: [c, a], 4: [a, b], 5: [a, b + "=="], 6: [a, a + c]}
+    out = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
+    assert out[4] == '{"api_key":"[SECRET]","client_secret":"[SECRET]","n":1}' and out[6] == "password=[SECRET],secret=[SECRET]"
+
+
 def test_page_text(spark):
     page = '<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class="cookie-notice">We use cookies</div><main><article><header><h1>Head &amp; line</h1></header><p><b>One.<br>Two\n three<p>Short.<aside>See also</aside><p>Last paragraph &eacute; of some length here.</p></article><section id="comments"><p>Nice post, thank you for all of it!</p></section></main><form>Name</form><footer>&copy; x</footer>'
     assert html_text.main_text(page) == "Head & line\n\nOne. Two three\n\nShort.\n\nLast paragraph é of some length here."
