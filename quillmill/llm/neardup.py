@@ -21,9 +21,11 @@ CHANCE = 64
 #: A key with more members than this is dealt over several tasks.
 HOT_KEY = 4096
 #: Most differing bits of a link that is worth a comparison of shingle sets: expected at 0.8 is 38.7 with a deviation of 5.7.
-#: At SURE bits or fewer, where a pair below 0.8 is a matter of 1 in 200 even right at 0.8, the fingerprints decide.
+#: Members of a key at SURE bits or fewer of its leader are linked with it alone; at 0.8 that is a matter of 1 in 200.
 RADIUS, SURE = 52, 24
 N_PIVOTS = 4
+#: Bytes that name a shingle set.
+SET = 16
 
 
 def keys_for(n: int) -> tuple[int, int]:
@@ -63,10 +65,19 @@ def _near_udf():
     return F.arrow_udf(near, "boolean")
 
 
+def _shingles(text: bytes, shingle: int):
+    """The distinct shingle hashes of a text, in order."""
+    import numpy as np
+
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
+
+
 def _fingerprint_udf(shingle: int):
-    """text to its fingerprint, binary."""
+    """text to the fingerprint of its shingle set and, in the same binary, SET bytes that only texts of one set share."""
 
     def fingerprints(texts):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -75,16 +86,15 @@ def _fingerprint_udf(shingle: int):
         factors = [np.uint64(2 * f + 1) for f in random.Random(7).sample(range(1 << 62), BITS // 64)]
         fps = []
         for i in range(len(texts)):
-            counts, n = np.zeros(BITS, np.int64), 0
-            for h in _hashes(data[offsets[i] : offsets[i + 1]].tobytes(), shingle):
-                n += len(h)
-                for k, f in enumerate(factors):
-                    m = (h ^ (h >> np.uint64(32))) * f
-                    each = (m ^ (m >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
-                    for b in range(8):
-                        at = 64 * k + 8 * b
-                        counts[at : at + 8] += np.bincount(each[:, b], minlength=256) @ bits
-            fps.append(np.packbits(2 * counts > n, bitorder="little").tobytes())
+            h = _shingles(data[offsets[i] : offsets[i + 1]].tobytes(), shingle)
+            counts = np.zeros(BITS, np.int64)
+            for k, f in enumerate(factors):
+                m = (h ^ (h >> np.uint64(32))) * f
+                each = (m ^ (m >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
+                for b in range(8):
+                    at = 64 * k + 8 * b
+                    counts[at : at + 8] += np.bincount(each[:, b], minlength=256) @ bits
+            fps.append(np.packbits(2 * counts > len(h), bitorder="little").tobytes() + hashlib.blake2b(h.tobytes(), digest_size=SET).digest())
         return pa.array(fps, pa.binary())
 
     return F.arrow_udf(fingerprints, "binary")
@@ -151,10 +161,14 @@ def _linked(batches):
         edges.add(a, b, np.zeros(len(a), np.int32) if d is None else d)
 
     def group(ids, fps, home, near, leaders):
-        if near.any():  # a tree: the leader, one member of each part, the others of the part
-            one = ids[near][:1]
-            forest(one, leaders[near][:1])
-            forest(np.broadcast_to(one, near.sum()), ids[near])
+        if near.any():  # a tree: the leader, one member of each part, the part's others that are near that one too
+            one = near.argmax()
+            far = np.bitwise_count(fps ^ fps[one]).sum(1)
+            tree = near & (far <= SURE)
+            forest(np.broadcast_to(ids[one], tree.sum()), ids[tree], far[tree])
+            direct = near & (far > SURE)
+            direct[one] = True
+            forest(ids[direct], leaders[direct], np.full(direct.sum(), SURE, np.int32))
         elif home.any():
             one = home.argmax()
             far = np.bitwise_count(fps ^ fps[one]).sum(1)
@@ -221,12 +235,10 @@ def _set_udf(shingle: int):
     """text to its distinct shingle hashes in order, 8 bytes each."""
 
     def sets(texts):
-        import numpy as np
         import pyarrow as pa
 
         data, offsets = utf8(texts)
-        each = ([np.zeros(0, np.uint64), *_hashes(data[a:b].tobytes(), shingle)] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
-        return pa.array([np.unique(np.concatenate(x)).tobytes() for x in each], pa.binary())
+        return pa.array([_shingles(data[a:b].tobytes(), shingle).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
     return F.arrow_udf(sets, "binary")
 
@@ -279,20 +291,20 @@ def links(first: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents that link at a similarity of about SIMILARITY or more, directly or in steps.
+    """(doc_id, component_id): documents that link at a similarity of SIMILARITY or more, directly or in steps.
 
-    Fingerprints over shingles of words tell which documents may link; of these links a forest of the least distances stays, and
-    its links of more than SURE bits are checked by the shingle sets. Documents of one fingerprint, such as exact copies and
+    Fingerprints over the distinct shingles of words tell which documents may link; of these links a forest of the least
+    distances stays, and all its links are checked by the shingle sets. Documents of one shingle set, such as exact copies and
     texts without words, are one from the start. Null ids take no part. No documents give no rows.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint_udf(shingle)(F.col(text_col)).alias("fp"))
     fps = saved(rows)
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    pairs = saved(links(first.select("id", "fp"), first.count()))
+    pairs = saved(links(first.select("id", F.substring("fp", 1, BITS // 8).alias("fp")), first.count()))
     # each task of the step before had its own forest
     pairs = saved(pairs.repartition(max(4, pairs.count() // LINKS)).mapInArrow(_forest, "a long, b long, d int"))
-    checked = similar(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pairs.filter(F.col("d") > SURE).select("a", "b"), shingle)
-    labels = components(saved(pairs.filter(F.col("d") <= SURE).select("a", "b").unionByName(checked)))
+    checked = similar(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pairs.select("a", "b"), shingle)
+    labels = components(saved(checked))
     ids = saved(first.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("component_id"), "n"))
     return join_hot(fps.select("doc_id", "fp"), ids, "fp", "n").select("doc_id", "component_id")
 

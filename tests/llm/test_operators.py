@@ -274,6 +274,19 @@ def test_near_duplicates_are_as_similar_as_they_should_be(spark):
     assert all(got[i] != i % 1000 for i, j in like.items() if j < 0.8) and {j < 0.8 for j in like.values()} == {True, False}
 
 
+def test_a_repeated_line_neither_makes_nor_hides_near_duplicates(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(5):
+        line = (words(11) + " ") * 40
+        rows += [(10 * i, words(100) + " " + line, "s"), (10 * i + 1, words(100) + " " + line, "s")]
+        text, line = words(300), (words(10) + " ") * 60
+        rows += [(10 * i + 2, text, "s"), (10 * i + 3, text + " " + line, "s")]
+    got = {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()}
+    assert got == {i: i - (i % 10 == 3) for i, _, _ in rows}
+
+
 def test_keys_keep_the_recall():
     for n in (0, 1, 10**7, 10**8, 10**10):
         keys, bits = neardup.keys_for(n)
