@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -44,6 +45,35 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
 ]
+#: Paragraphs of the longer licences, told from those of the others.
+PARTS = [
+    ("Apache-2.0", '(c) You must retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form of the Work, excluding those notices that do not pertain to any part of the Derivative Works; and'),
+    ("Apache-2.0", '"Work" shall mean the work of authorship, whether in Source or Object form, made available under the License, as indicated by a copyright notice that is included in or attached to the work (an example is provided in the Appendix below).'),
+    ("Apache-2.0", '5. Submission of Contributions. Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be under the terms and conditions of this License, without any additional terms or conditions. Notwithstanding the above, nothing herein shall supersede or modify the terms of any separate license agreement you may have executed with Licensor regarding such Contributions.'),
+    ("Apache-2.0", '6. Trademarks. This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file.'),
+    ("GPL-2.0", "Finally, any free program is threatened constantly by software patents. We wish to avoid the danger that redistributors of a free program will individually obtain patent licenses, in effect making the program proprietary. To prevent this, we have made it clear that any patent must be licensed for everyone's free use or not licensed at all."),
+    ("GPL-2.0", "The hypothetical commands `show w' and `show c' should show the appropriate parts of the General Public License. Of course, the commands you use may be called something other than `show w' and `show c'; they could even be mouse-clicks or menu items--whatever suits your program."),
+    ("GPL-2.0", 'c) Accompany it with the information you received as to the offer to distribute corresponding source code. (This alternative is allowed only for noncommercial distribution and only if you received the program in object code or executable form with such an offer, in accord with Subsection b above.)'),
+    ("GPL-2.0", 'b) You must cause any work that you distribute or publish, that in whole or in part contains or is derived from the Program or any part thereof, to be licensed as a whole at no charge to all third parties under the terms of this License.'),
+    ("GPL-3.0", 'Termination of your rights under this section does not terminate the licenses of parties who have received copies or rights from you under this License. If your rights have been terminated and not permanently reinstated, you do not qualify to receive new licenses for the same material under section 10.'),
+    ("GPL-3.0", 'To protect your rights, we need to prevent others from denying you these rights or asking you to surrender the rights. Therefore, you have certain responsibilities if you distribute copies of the software, or if you modify it: responsibilities to respect the freedom of others.'),
+    ("GPL-3.0", 'f) Requiring indemnification of licensors and authors of that material by anyone who conveys the material (or modified versions of it) with contractual assumptions of liability to the recipient, for any liability that these contractual assumptions directly impose on those licensors and authors.'),
+    ("GPL-3.0", 'A "Standard Interface" means an interface that either is an official standard defined by a recognized standards body, or, in the case of interfaces specified for a particular programming language, one that is widely used among developers working in that language.'),
+    ("LGPL-2.1", 'Most GNU software, including some libraries, is covered by the ordinary GNU General Public License. This license, the GNU Lesser General Public License, applies to certain designated libraries, and is quite different from the ordinary General Public License. We use this license for certain libraries in order to permit linking those libraries into non-free programs.'),
+    ("LGPL-2.1", '(For example, a function in a library to compute square roots has a purpose that is entirely well-defined independent of the application. Therefore, Subsection 2d requires that any application-supplied function or table used by this function must be optional: if the application does not supply it, the square root function must still compute square roots.)'),
+    ("LGPL-2.1", '5. A program that contains no derivative of any portion of the Library, but is designed to work with the Library by being compiled or linked with it, is called a "work that uses the Library". Such a work, in isolation, is not a derivative work of the Library, and therefore falls outside the scope of this License.'),
+    ("LGPL-2.1", 'However, linking a "work that uses the Library" with the Library creates an executable that is a derivative of the Library (because it contains portions of the Library), rather than a "work that uses the library". The executable is therefore covered by this License. Section 6 states terms for distribution of such executables.'),
+    ("LGPL-3.0", 'The "Corresponding Application Code" for a Combined Work means the object code and/or source code for the Application, including any data and utility programs needed for reproducing the Combined Work from the Application, but excluding the System Libraries of the Combined Work.'),
+    ("LGPL-3.0", 'The "Minimal Corresponding Source" for a Combined Work means the Corresponding Source for the Combined Work, excluding any source code for portions of the Combined Work that, considered in isolation, are based on the Application, and not on the Linked Version.'),
+    ("LGPL-3.0", 'You may place library facilities that are a work based on the Library side by side in a single library together with other library facilities that are not Applications and are not covered by this License, and convey such a combined library under terms of your choice, if you do both of the following:'),
+    ("LGPL-3.0", 'An "Application" is any work that makes use of an interface provided by the Library, but which is not otherwise based on the Library. Defining a subclass of a class defined by the Library is deemed a mode of using an interface provided by the Library.'),
+    ("MPL-2.0", 'If you create software not governed by this License, and you want to create a new license for such software, you may create and use a modified version of this License if you rename the license and remove any references to the name of the license steward (except to note that such modified license differs from this License).'),
+    ("MPL-2.0", '5.3. In the event of termination under Sections 5.1 or 5.2 above, all end user license agreements (excluding distributors and resellers) which have been validly granted by You or Your distributors under this License prior to termination shall survive termination.'),
+    ("MPL-2.0", 'The licenses granted in this Section 2 are the only rights granted under this License. No additional rights or licenses will be implied from the distribution or licensing of Covered Software under this License. Notwithstanding Section 2.1(b) above, no patent license is granted by a Contributor:'),
+    ("MPL-2.0", "(b) You may distribute such Executable Form under the terms of this License, or sublicense it under different terms, provided that the license for the Executable Form does not attempt to limit or alter the recipients' rights in the Source Code Form under this License."),
+    ("CC0-1.0", 'CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN "AS-IS" BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER, AND DISCLAIMS LIABILITY FOR DAMAGES RESULTING FROM THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER.'),
+    ("CC0-1.0", 'Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works ("Commons") that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever and for any purposes, including without limitation commercial purposes. These owners may contribute to the Commons to promote the ideal of a free culture and the further production of creative, cultural and scientific works, or to gain reputation or greater distribution for their Work in part through the use and efforts of others.'),
+]
 #: Words too common in running text to look for first.
 COMMON = set("a all an and any are as at be but by copy do for free form from if in including is it its may no not notice of on or other out shall source such that the this to under use version was will with without you your 0 1 2 3 4".split())
 
@@ -81,12 +111,14 @@ def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", templates: list[tuple[str, str]] = TEMPLATES + PARTS, least: float = LEAST) -> DataFrame:
     """docs with an array of structs (license, score, unit, passage): passages that reach `least` with a template.
 
     Passages are the whole text, its paragraphs between blank lines and its lines (unit text, paragraph, line; passage counts
-    from 0). A passage has the different pairs of its neighbouring words; of each licence the template of the highest Dice
-    coefficient counts. A template takes part only where the numbers of pairs let it reach `least`, and passages without any
+    from 0), and windows of a template's number of words, wherever one of the template's own probes() stands as it does in
+    the template (unit window; passage is the first word's number; of windows that overlap the best of each template counts,
+    and only those that no other unit of the text shows at the same score or more). A passage has the different pairs of its
+    neighbouring words; of each licence the template of the highest Dice coefficient counts. A template takes part only where the numbers of pairs let it reach `least`, and passages without any
     of probes() are left out before, which loses none. Null, empty and wordless texts have an empty array.
     """
     k = free_name(docs, out_col)
@@ -98,14 +130,29 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", tem
         each = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("passage"), p.alias("p")))
         return F.filter(each, lambda s: F.regexp_like(ascii_lower(s["p"]), F.lit(probe)))
 
+    anchored = [(n, len(words(t)), bigrams(t), sorted((x, i) for i, x in enumerate(words(t)) if x in set(probes([(n, t)], least)))) for n, t in templates]
+    shapes = F.from_json(
+        F.lit(json.dumps([{"license": n, "size": size, "grams": g, "anchors": [{"word": x, "at": i} for x, i in a]} for n, size, g, a in anchored])),
+        "array<struct<license:string,size:int,grams:array<string>,anchors:array<struct<word:string,at:int>>>>",
+    )
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*[F.lit(g) for g in bigrams(t)]).alias("grams")) for n, t in templates])
     passages = F.coalesce(F.concat(units("text", F.array(low)), units("paragraph", F.split(low, r"\n[ \t\r]*\n\s*")), units("line", F.split(low, "\n"))), F.array().cast("array<struct<unit:string,passage:bigint,p:string>>"))
     rows = docs.withColumn(f"{k}_p", passages)
 
     def grams(p: Column) -> Column:
-        w = F.split(_normal(p), " ")
+        return pairs_of(F.split(_normal(p), " "))
+
+    def pairs_of(w: Column) -> Column:
         return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
 
+    def windows(t: Column) -> Column:
+        starts = F.transform(F.col(f"{k}_at"), lambda p: F.transform(F.filter(t["anchors"], lambda a: a["word"] == p["word"]), lambda a: F.greatest(p["at"] - a["at"], F.lit(0))))
+        cut = F.transform(F.array_distinct(F.flatten(starts)), lambda b: F.struct(b.alias("b"), pairs_of(F.slice(F.col(f"{k}_w"), b + 1, t["size"])).alias("g")))
+        each = F.transform(cut, lambda x: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(x["g"], t["grams"])) * 2.0 / (F.size(x["g"]) + F.size(t["grams"]))).alias("score"), F.lit("window").alias("unit"), x["b"].cast("long").alias("passage")))
+        good = F.filter(each, lambda x: x["score"] >= least)
+        better = lambda y, x: (F.abs(y["passage"] - x["passage"]) < t["size"]) & ((y["score"] > x["score"]) | (y["score"] == x["score"]) & (y["passage"] < x["passage"]))
+        return F.filter(good, lambda x: ~F.exists(good, lambda y: better(y, x)))
+
     def judged(s: Column) -> Column:
         n = F.size(s["g"])
         bound = least / (2 - least)
@@ -115,7 +162,13 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", tem
 
     rows = rows.withColumn(f"{k}_g", F.transform(F.col(f"{k}_p"), lambda s: F.struct(s["unit"].alias("unit"), s["passage"].alias("passage"), grams(s["p"]).alias("g"))))
     rows = rows.withColumn(f"{k}_t", F.when(F.size(f"{k}_g") > 0, table))
+    rows = rows.withColumn(f"{k}_w", F.when(low.isNotNull(), F.split(_normal(low), " ")))
+    anchor_words = F.array(*[F.lit(x) for x in sorted({x for *_, a in anchored for x, _ in a})])
+    rows = rows.withColumn(f"{k}_in", F.array_intersect(f"{k}_w", anchor_words))
+    rows = rows.withColumn(f"{k}_at", F.filter(F.transform(F.col(f"{k}_w"), lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: F.array_contains(F.col(f"{k}_in"), p["word"])))
+    rows = rows.withColumn(f"{k}_s", F.coalesce(F.flatten(F.transform(F.when(F.size(f"{k}_at") > 0, shapes), windows)), F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")))
     found = F.flatten(F.transform(F.col(f"{k}_g"), judged))
+    found = F.concat(found, F.filter(F.col(f"{k}_s"), lambda x: ~F.exists(found, lambda y: (y["license"] == x["license"]) & (y["score"] >= x["score"]))))
     rows = rows.withColumn(f"{k}_f", F.when(F.size(f"{k}_g") > 0, found).otherwise(F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")))
     best = F.filter(F.col(f"{k}_f"), lambda x: ~F.exists(F.col(f"{k}_f"), lambda y: (y["license"] == x["license"]) & (y["unit"] == x["unit"]) & (y["passage"] == x["passage"]) & (y["score"] > x["score"])))
-    return rows.withColumn(out_col, F.array_distinct(best)).drop(*[f"{k}_{x}" for x in "pgtf"])
+    return rows.withColumn(out_col, F.array_distinct(best)).drop(*[f"{k}_{x}" for x in ("p", "g", "t", "f", "w", "s", "in", "at")])

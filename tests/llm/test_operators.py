@@ -300,6 +300,19 @@ def test_licences(spark):
     assert ("MIT", "line") in got[1] and ("MIT", "text") in got[2] and got[3] == []
 
 
+def test_licences_inside_longer_documents(spark):
+    r = random.Random(10)
+    other = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    text = dict(reversed(licenses.TEMPLATES[:7]))
+    mit = text["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    wrap = lambda t: re.sub(r"((?:\S+ ){9}\S+) ", r"\1\n// ", t)
+    rows = [(1, f"{other(40)}\n\n{mit}\n\n{other(150)}", "s"), (2, f"// {wrap(text['BSD-3-Clause'])}\n{other(300)}", "s"), (3, f"/* {wrap(text['GPL-3.0'])} */\n{other(200)}", "s"), (4, f"{other(20)} Released under the\nMIT License. {other(30)}", "s"), (5, other(300), "s")]
+    rows += [(10 + i, f"{other(60)}\n\n{wrap(t)}\n\n{other(60)}", "s") for i, (_, t) in enumerate(licenses.PARTS)]
+    got = {x.doc_id: {y.license for y in x.licenses} for x in licenses.scan(docs(spark, rows)).collect()}
+    assert "MIT" in got[1] and "BSD-3-Clause" in got[2] and "GPL-3.0" in got[3] and got[4] == {"MIT"} and got[5] == set()
+    assert all(n in got[10 + i] for i, (n, _) in enumerate(licenses.PARTS))
+
+
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_odd_rows_and_empty_tables(spark, rows):
     df = docs(spark, rows)
