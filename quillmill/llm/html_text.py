@@ -15,9 +15,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose text never is the article's.
 NEVER = set("script style template noscript head title nav footer aside form button select option textarea datalist dialog iframe object svg canvas audio video map menu".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip status".split())
-#: Names of classes and ids that mark what stands around an article.
-AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|skip|tags|taxonomy|masthead|topbar|site-header|page-header)(?:$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: Names of classes and ids, or their beginnings, that mark what stands around an article, unless an article or main element is in it.
+AROUND = re.compile(r"(?:^|\s)(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|skip|tags|taxonomy|masthead|topbar|site-header|page-header)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|\s)(?:site-|page-)?header(?:$|[\s_-])", re.I)
 WHOLE = set("html body article main".split())
 SIGMA, RADIUS = 1.0, 3
 #: Elements that a new one of the kind closes.
@@ -32,6 +32,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # (element, number, its text may be the article's)
         self.kinds: dict[int, str] = {}
+        self.named: set[int] = set()  # elements whose names alone say that they stand around an article
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = self.count = 0
@@ -61,7 +62,10 @@ class Page(HTMLParser):
                 break
         self.count += 1
         self.kinds[self.count] = tag
-        self.stack.append((tag, self.count, (not self.stack or self.stack[-1][2]) and not self.around(tag, dict(attrs))))
+        attrs = dict(attrs)
+        if self.by_name(tag, attrs):
+            self.named.add(self.count)
+        self.stack.append((tag, self.count, (not self.stack or self.stack[-1][2]) and not self.around(tag, attrs)))
 
     def around(self, tag, attrs):
         if tag in NEVER:
@@ -71,10 +75,12 @@ class Page(HTMLParser):
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
             return True
-        if (attrs.get("role") or "").lower() in ROLES:
-            return True
-        if tag in ("html", "body", "main"):
+        return (attrs.get("role") or "").lower() in ROLES
+
+    def by_name(self, tag, attrs):
+        if tag in WHOLE:
             return False
+        inside = any(t in ("article", "main") for t, _, _ in self.stack)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         return bool(AROUND.search(names)) or not inside and bool(HEADER.search(names))
 
@@ -106,6 +112,27 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+def judged(page: Page, high: list[bool]) -> list[tuple[str, int, tuple[int, ...], bool]]:
+    """The lines of a page, also refused where they are in an element of a refused name; high: lines over the ratio bound.
+
+    Where no article or main element elsewhere has high lines, an element that holds one and half of the high text, or nine
+    tenths of it without one, is not refused for its name.
+    """
+    free = [h and ok and not page.named & set(path) for h, (_, _, path, ok) in zip(high, page.lines, strict=True)]
+    named = page.named
+    if not any(f and any(page.kinds[n] in ("article", "main") for n in path) for f, (_, _, path, _) in zip(free, page.lines, strict=True)):
+        total, held, whole = 0, {}, set()
+        for h, (text, _, path, ok) in zip(high, page.lines, strict=True):
+            if h and ok:
+                total += len(text)
+                for i, n in enumerate(path):
+                    held[n] = held.get(n, 0) + len(text)
+                    if any(page.kinds[m] in ("article", "main") for m in path[i:]):
+                        whole.add(n)
+        named = {n for n in named if not (2 * held.get(n, 0) >= total > 0 if n in whole else 10 * held.get(n, 0) >= 9 * total > 0)}
+    return [(text, tags, path, ok and not named & set(path)) for text, tags, path, ok in page.lines]
+
+
 def blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
     page = Page()
@@ -118,6 +145,7 @@ def blocks(html: str) -> list[str]:
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in page.lines])
     mean = sum(ratios) / len(ratios)
     bound = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    page.lines = judged(page, [r >= min(bound, mean) for r in ratios])
     content = [ok and r >= min(bound, mean) for r, (_, _, _, ok) in zip(ratios, page.lines, strict=True)]
     if not any(content):
         content = [ok for _, _, _, ok in page.lines]

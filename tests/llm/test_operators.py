@@ -171,6 +171,15 @@ def test_page_text(spark):
         assert html_text.main_text(r.html) == "\n\n".join(x for x in want if x)
 
 
+def test_page_text_in_elements_with_names():
+    text = "Some words of the text. " * 8
+    article = f'<article class="post category-social tag-login"><h1>T</h1><p>{text}</p><p>The end.</p></article>'
+    want = f"T\n\n{text.strip()}\n\nThe end."
+    side = '<div class="sidebar"><p>Other things to read</p></div><section id="comments"><article><p>Nice post!</p></article></section>'
+    for page in (article, f'<div class="has-sidebar">{article}</div>', f'<div class="content-sidebar-wrap">{article}</div>', f'<div class="sidebar-layout">{article}</div>', f"<main>{article}</main>"):
+        assert html_text.main_text(f"<body>{page}{side}</body>") == want
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.NET/en/x?y"), (4, "https://x.net"), (5, "http://www.casino-win.example.com/en/1"), (6, "http://x.org/fr/"), (7, "http://museum.example.com/fr/#/de/")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")).collect()}
