@@ -163,10 +163,7 @@ def blocks(html: str) -> list[str]:
     holding = [n for n in weight if 10 * weight[n] >= 9 * total]
     top = max(holding, default=None)
     inside = [i for i, (_, _, path, ok) in enumerate(page.lines) if ok and (top is None or top in path)]
-    marked = [i for i in inside if content[i]]
-    if not marked:
-        return []
-    return [page.lines[i][0] for i in inside if marked[0] - 1 <= i <= marked[-1] and (i >= marked[0] or page.kinds.get(page.lines[i][2][-1] if page.lines[i][2] else 0, "") in ("h1", "h2"))]
+    return [page.lines[i][0] for i in inside] if any(content[i] for i in inside) else []
 
 
 def main_text(html: str | None) -> str:
@@ -178,8 +175,8 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     Lines are block elements. Their ratios of characters to tags are smoothed over neighbouring lines, and lines at or above
     the ratios' standard deviation, or their mean where that is lower, are content. The article is the article or main element
-    with at least half of the content's characters, else the innermost element with nine tenths, from the first content line
-    to the last; all its lines count but those of menus, headers, footers, sidebars, notices, adverts, forms and comments.
+    with at least half of the content's characters, else the innermost element with nine tenths; all its
+    lines count but those of menus, headers, footers, sidebars, notices, adverts, forms and comments.
     Null, empty and textless pages give an empty text. Repeated rows stay repeated; other columns pass.
     """
 

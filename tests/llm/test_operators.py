@@ -180,6 +180,12 @@ def test_page_text_in_elements_with_names():
         assert html_text.main_text(f"<body>{page}{side}</body>") == want
 
 
+def test_page_text_keeps_short_lines_at_both_ends():
+    lines = ["Title", "By A. B.", "A short lead.", *["Words of a long paragraph. " * 22] * 10, "One.", "Two.", "Three.", "Four.", "Five.", "Six."]
+    page = "<body><nav><a>Home</a></nav><div id=story>" + "".join(f"<p>{x}</p>" for x in lines) + "</div><footer>x</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in lines)
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.NET/en/x?y"), (4, "https://x.net"), (5, "http://www.casino-win.example.com/en/1"), (6, "http://x.org/fr/"), (7, "http://museum.example.com/fr/#/de/")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")).collect()}
