@@ -99,8 +99,19 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.apart():
+            return
         self.text.append(data)
 
+    def apart(self):
+        """Whether the innermost open element, or an inline one about it, isn't the text of the block it stands in."""
+        for tag, n, ok in reversed(self.stack):
+            if tag in BLOCKS:
+                return ok and not self.stack[-1][2]
+            if n in self.named:
+                return True
+        return bool(self.stack) and not self.stack[-1][2]
+
 
 def smoothed(ratios: list[float]) -> list[float]:
     """Each value and its neighbours, weighed by a Gaussian kernel."""

@@ -186,6 +186,11 @@ def test_page_text_keeps_short_lines_at_both_ends():
     assert html_text.main_text(page) == "\n\n".join(x.strip() for x in lines)
 
 
+def test_page_text_leaves_inline_parts_out():
+    page = "<article><p>A</p><script>x()</script><p>B <button>Buy</button><span class=share>Share</span>c</p><style>p {}</style><p>D</p><textarea>t</textarea></article>"
+    assert html_text.main_text(page) == "A\n\nB c\n\nD"
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.NET/en/x?y"), (4, "https://x.net"), (5, "http://www.casino-win.example.com/en/1"), (6, "http://x.org/fr/"), (7, "http://museum.example.com/fr/#/de/")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")).collect()}
