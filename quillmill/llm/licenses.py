@@ -165,7 +165,8 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", tem
     rows = rows.withColumn(f"{k}_w", F.when(low.isNotNull(), F.split(_normal(low), " ")))
     anchor_words = F.array(*[F.lit(x) for x in sorted({x for *_, a in anchored for x, _ in a})])
     rows = rows.withColumn(f"{k}_in", F.array_intersect(f"{k}_w", anchor_words))
-    rows = rows.withColumn(f"{k}_at", F.filter(F.transform(F.col(f"{k}_w"), lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: F.array_contains(F.col(f"{k}_in"), p["word"])))
+    # named twice, so that the optimizer does not put it into the function, to be made anew for each word
+    rows = rows.withColumn(f"{k}_at", F.when(F.size(f"{k}_in") > 0, F.filter(F.transform(F.col(f"{k}_w"), lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: F.array_contains(F.col(f"{k}_in"), p["word"]))))
     rows = rows.withColumn(f"{k}_s", F.coalesce(F.flatten(F.transform(F.when(F.size(f"{k}_at") > 0, shapes), windows)), F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")))
     found = F.flatten(F.transform(F.col(f"{k}_g"), judged))
     found = F.concat(found, F.filter(F.col(f"{k}_s"), lambda x: ~F.exists(found, lambda y: (y["license"] == x["license"]) & (y["score"] >= x["score"]))))
