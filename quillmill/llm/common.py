@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once for each row, however often it is named and whatever the optimizer puts together."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def free_name(df: DataFrame, *taken: str) -> str:
     """A column name that df doesn't have."""
     used, name = {c.lower() for c in (*df.columns, *taken)}, "_q"

@@ -82,7 +82,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("findings").cast("long").alias("n_candidates"),
         F.size(true).cast("long").alias("n_secrets"),
-        F.transform(true, lambda s: s["word"]).alias("words"),
+        F.transform(true, lambda s: s["at"]).alias("starts"),
         F.transform(true, lambda s: s["value"]).alias("secrets"),
         F.transform(true, lambda s: s["score"]).alias("scores"),
     )

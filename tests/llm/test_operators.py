@@ -141,9 +141,10 @@ def test_secrets_equal_the_plain_forest(spark):
     forest = secrets._forest(spark)
     labelled = spark.createDataFrame([f[:4] for f in secrets.findings(60)], "v string, b string, a string, p string")
     x = F.array(*secrets.features(F.col("v"), F.col("b"), F.col("a"), F.col("p")))
-    for r in labelled.select(x.alias("x"), secrets._score(forest, x).alias("s")).collect():
+    for r in labelled.select(x.alias("x"), F.lit(0).alias("z")).select("x", F.expr(secrets.score_sql(forest, "x")).alias("s")).collect():
         assert abs(secrets.vote(forest, list(r.x)) - r.s) < 1e-9
-    fresh = [f for f in secrets.findings(1400) if f not in set(secrets.findings())]
+    known = set(secrets.findings())
+    fresh = [f for f in secrets.findings(5000) if f not in known]
     judged = [(secrets.vote(forest, list(r.x)) >= 0.5, r.y) for r in spark.createDataFrame(fresh, "v string, b string, a string, p string, y int").select(x.alias("x"), "y").collect()]
     assert sum(a == bool(b) for a, b in judged) >= 0.95 * len(judged)
     out = {r.doc_id: r for r in secrets.redact(docs(spark, rows)).collect()}
@@ -159,6 +160,60 @@ def test_secrets_find_every_value_of_a_word(spark):
     assert out[4] == '{"api_key":"[SECRET]","client_secret":"[SECRET]","n":1}' and out[6] == "password=[SECRET],secret=[SECRET]"
 
 
+def plain_scan(text, path, forest):
+    """Candidates and their scores by plain patterns and the forest's votes, in order: (at, value, score)."""
+    share = lambda n, whole: n / max(whole, 1)
+    text = (text or "").translate({0xFDD0: " ", 0xFDD1: " "})
+    marked = re.sub(secrets.ASSIGNED, f"\\1{secrets.OPEN}\\2{secrets.SHUT}", text, flags=re.A)
+    marked = re.sub(secrets.EITHER, lambda m: f"{secrets.OPEN}{m.group(1) or ''}{m.group(2) or ''}{secrets.SHUT}", marked, flags=re.A)
+    parts = re.split(f"[{secrets.OPEN}{secrets.SHUT}]", marked)
+    out, at = [], 0
+    for i, value in enumerate(parts):
+        if i % 2:
+            head = re.split(r"[ \t\n\r\f\v]+", ((parts[i - 2] if i > 1 else "") + parts[i - 1])[-secrets.BEFORE :])
+            before = " ".join(head[-secrets.BEFORE_WORDS :]).rstrip(" \t\n\r\f\v")
+            after = (re.split(r"[ \t\n\r\f\v]+", parts[i + 1][: secrets.AFTER]) + [""])[1]
+            n, letters = len(value), re.sub("[^A-Za-z]", "", value).lower()
+            left = re.sub("|".join(sorted(secrets.WORDS, key=len, reverse=True)), "", value, flags=re.I | re.A)
+            some = lambda p, s: float(re.search(p, s, re.A) is not None)
+            x = [float(n), share(len(re.findall(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9]|[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])", value)), n), share(len(re.findall("[0-9]", value)), n), share(len(re.findall("[A-Z]", value)), n)]
+            x += [share(len(re.findall(f"(?={'|'.join(secrets.PAIRS)})", letters)), len(letters)), share(n - len(left), n), share(len(set(value)), min(n, 24)), some(secrets.KEYWORD, before), some(secrets.DECOY, f"{before} {after}")]
+            x += [some(r"[=:]\s*[\"'`]?$", before), some(secrets.PATHS, path or ""), some("^([0-9a-f]+|[0-9A-F]+)$", value), share(len(re.findall("[^A-Za-z0-9]", value)), n), sum(some(p, value) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))]
+            out.append((at, value, round(secrets.vote(forest, x), 6)))
+        at += len(value)
+    return out
+
+
+def test_secrets_query_equals_brute_force(spark):
+    forest = secrets._forest(spark)
+    rows = {r.doc_id: (r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op4_secrets(spark, DATA).collect()}
+    assert got.keys() == rows.keys() and sum(r.n_candidates for r in got.values()) > 500
+    for i, (text, source) in rows.items():
+        want = plain_scan(text, source, forest)
+        true = [(a, v, s) for a, v, s in want if s >= 0.5]
+        assert got[i].n_candidates == len(want) and all(text[a : a + len(v)] == v for a, v, _ in true)
+        assert [(a, v) for a, v, _ in true] == list(zip(got[i].starts, got[i].secrets, strict=True)) and all(abs(s - t) < 2e-6 for (*_, s), t in zip(true, got[i].scores, strict=True))
+
+
+def test_secrets_of_any_length_and_sign(spark):
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ik.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"
+    texts = ["password=hunter2!x and more", 'a db_password: "p@Ss9.w0rd" b', f"Authorization: Bearer {jwt} x", "\ufdd0password = Tr0ub4dor&3 \ufdd1", "password: required", "the token: string of words", "password=None", "password=$DB_PASSWORD", 'token = "wJalrXUtnFEMI7K8MDENG", secret="hunter22!"' * 300]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.findings for r in secrets.scan(df).collect()}
+    found = {i: [s.value for s in f if s.secret] for i, f in got.items()}
+    assert found[0] == ["hunter2!x"] and found[1] == ["p@Ss9.w0rd"] and found[2] == [jwt] and found[3] == ["Tr0ub4dor"]
+    assert all(found[i] == [] for i in (4, 5, 6, 7))
+    forest = secrets._forest(spark)
+    for i, t in enumerate(texts):
+        want = plain_scan(t, "s", forest)
+        assert [(s.at, s.value) for s in got[i]] == [w[:2] for w in want] and all(abs(s.score - w[2]) < 2e-6 for s, w in zip(got[i], want, strict=True))
+    assert [s.at for s in got[8]] == [m.start() for m in re.finditer("wJalrXUtnFEMI7K8MDENG|hunter22!", texts[8])]
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[0] == "password=[SECRET] and more" and jwt.split(".")[2] not in out[2] and "hunter22!" not in out[8]
+    assert all(out[i] == texts[i] for i in (4, 5, 6, 7))
+
+
 def test_page_text(spark):
     page = '<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class="cookie-notice">We use cookies</div><main><article><header><h1>Head &amp; line</h1></header><p><b>One.<br>Two\n three<p>Short.<aside>See also</aside><p>Last paragraph &eacute; of some length here.</p></article><section id="comments"><p>Nice post, thank you for all of it!</p></section></main><form>Name</form><footer>&copy; x</footer>'
     assert html_text.main_text(page) == "Head & line\n\nOne. Two three\n\nShort.\n\nLast paragraph é of some length here."
