@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name
+from .common import ascii_lower, once
 
 LEAST = 0.8
 _WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -107,69 +108,84 @@ def probes(templates: list[tuple[str, str]], least: float) -> list[str]:
     return sorted(chosen)
 
 
-def _normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(c), r"[^\p{L}\p{N}]+", " "))
+def _words(c: Column) -> Column:
+    """A text's words, letters and digits of any script, A-Z in lower case; a text without any has an empty one."""
+    return F.split(F.trim(F.regexp_replace(ascii_lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _pairs(w: Column) -> Column:
+    """The pair of words at each place but the last."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", templates: list[tuple[str, str]] = TEMPLATES + PARTS, least: float = LEAST) -> DataFrame:
     """docs with an array of structs (license, score, unit, passage): passages that reach `least` with a template.
 
     Passages are the whole text, its paragraphs between blank lines and its lines (unit text, paragraph, line; passage counts
-    from 0), and windows of a template's number of words, wherever one of the template's own probes() stands as it does in
-    the template (unit window; passage is the first word's number; of windows that overlap the best of each template counts,
-    and only those that no other unit of the text shows at the same score or more). A passage has the different pairs of its
-    neighbouring words; of each licence the template of the highest Dice coefficient counts. A template takes part only where the numbers of pairs let it reach `least`, and passages without any
-    of probes() are left out before, which loses none. Null, empty and wordless texts have an empty array.
+    from 0), and all windows of a template's number of words (unit window; passage is the first word's number; of windows that
+    overlap the best of each template counts, the first of equal ones). A passage has the different pairs of its neighbouring
+    words; of each licence the template of the highest Dice coefficient counts. Dice of `least` needs least / (2 - least) of
+    either side's pairs in common: so a template takes part in a text only if the text as a whole has that share of its pairs,
+    and in a passage only if the sizes of both allow it, which loses none; nor does it that texts without any of probes() are
+    left out before. Null, empty and wordless texts have an empty
+    array; a column of docs named out_col gives way, all others pass.
     """
-    k = free_name(docs, out_col)
+    share = least / (2 - least)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    probe = r"(?<![\p{L}\p{N}])(" + "|".join(probes(templates, least)) + r")(?![\p{L}\p{N}])"
-    low = F.when(F.regexp_like(ascii_lower(text), F.lit(probe)), text)
-
-    def units(kind: str, parts: Column) -> Column:
-        each = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("passage"), p.alias("p")))
-        return F.filter(each, lambda s: F.regexp_like(ascii_lower(s["p"]), F.lit(probe)))
-
-    anchored = [(n, len(words(t)), bigrams(t), sorted((x, i) for i, x in enumerate(words(t)) if x in set(probes([(n, t)], least)))) for n, t in templates]
-    shapes = F.from_json(
-        F.lit(json.dumps([{"license": n, "size": size, "grams": g, "anchors": [{"word": x, "at": i} for x, i in a]} for n, size, g, a in anchored])),
-        "array<struct<license:string,size:int,grams:array<string>,anchors:array<struct<word:string,at:int>>>>",
-    )
-    table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*[F.lit(g) for g in bigrams(t)]).alias("grams")) for n, t in templates])
-    passages = F.coalesce(F.concat(units("text", F.array(low)), units("paragraph", F.split(low, r"\n[ \t\r]*\n\s*")), units("line", F.split(low, "\n"))), F.array().cast("array<struct<unit:string,passage:bigint,p:string>>"))
-    rows = docs.withColumn(f"{k}_p", passages)
-
-    def grams(p: Column) -> Column:
-        return pairs_of(F.split(_normal(p), " "))
-
-    def pairs_of(w: Column) -> Column:
-        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
-
-    def windows(t: Column) -> Column:
-        starts = F.transform(F.col(f"{k}_at"), lambda p: F.transform(F.filter(t["anchors"], lambda a: a["word"] == p["word"]), lambda a: F.greatest(p["at"] - a["at"], F.lit(0))))
-        cut = F.transform(F.array_distinct(F.flatten(starts)), lambda b: F.struct(b.alias("b"), pairs_of(F.slice(F.col(f"{k}_w"), b + 1, t["size"])).alias("g")))
-        each = F.transform(cut, lambda x: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(x["g"], t["grams"])) * 2.0 / (F.size(x["g"]) + F.size(t["grams"]))).alias("score"), F.lit("window").alias("unit"), x["b"].cast("long").alias("passage")))
-        good = F.filter(each, lambda x: x["score"] >= least)
-        better = lambda y, x: (F.abs(y["passage"] - x["passage"]) < t["size"]) & ((y["score"] > x["score"]) | (y["score"] == x["score"]) & (y["passage"] < x["passage"]))
-        return F.filter(good, lambda x: ~F.exists(good, lambda y: better(y, x)))
-
-    def judged(s: Column) -> Column:
-        n = F.size(s["g"])
-        bound = least / (2 - least)
-        fits = F.filter(F.col(f"{k}_t"), lambda t: (n >= F.size(t["grams"]) * bound - 1e-9) & (n * bound - 1e-9 <= F.size(t["grams"])))
-        scored = F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(s["g"], t["grams"])) * 2.0 / (n + F.size(t["grams"]))).alias("score"), s["unit"].alias("unit"), s["passage"].alias("passage")))
-        return F.filter(scored, lambda x: x["score"] >= least)
-
-    rows = rows.withColumn(f"{k}_g", F.transform(F.col(f"{k}_p"), lambda s: F.struct(s["unit"].alias("unit"), s["passage"].alias("passage"), grams(s["p"]).alias("g"))))
-    rows = rows.withColumn(f"{k}_t", F.when(F.size(f"{k}_g") > 0, table))
-    rows = rows.withColumn(f"{k}_w", F.when(low.isNotNull(), F.split(_normal(low), " ")))
-    anchor_words = F.array(*[F.lit(x) for x in sorted({x for *_, a in anchored for x, _ in a})])
-    rows = rows.withColumn(f"{k}_in", F.array_intersect(f"{k}_w", anchor_words))
-    # named twice, so that the optimizer does not put it into the function, to be made anew for each word
-    rows = rows.withColumn(f"{k}_at", F.when(F.size(f"{k}_in") > 0, F.filter(F.transform(F.col(f"{k}_w"), lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: F.array_contains(F.col(f"{k}_in"), p["word"]))))
-    rows = rows.withColumn(f"{k}_s", F.coalesce(F.flatten(F.transform(F.when(F.size(f"{k}_at") > 0, shapes), windows)), F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")))
-    found = F.flatten(F.transform(F.col(f"{k}_g"), judged))
-    found = F.concat(found, F.filter(F.col(f"{k}_s"), lambda x: ~F.exists(found, lambda y: (y["license"] == x["license"]) & (y["score"] >= x["score"]))))
-    rows = rows.withColumn(f"{k}_f", F.when(F.size(f"{k}_g") > 0, found).otherwise(F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")))
-    best = F.filter(F.col(f"{k}_f"), lambda x: ~F.exists(F.col(f"{k}_f"), lambda y: (y["license"] == x["license"]) & (y["unit"] == x["unit"]) & (y["passage"] == x["passage"]) & (y["score"] > x["score"])))
-    return rows.withColumn(out_col, F.array_distinct(best)).drop(*[f"{k}_{x}" for x in ("p", "g", "t", "f", "w", "s", "in", "at")])
+    sized = [{"license": n, "size": len(words(t)), "grams": bigrams(t), "need": math.ceil(share * len(bigrams(t)) - 1e-9)} for n, t in templates]
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    table = literal(sized, "array<struct<license:string,size:int,grams:array<string>,need:int>>")
+    every = literal(sorted({g for t in sized for g in t["grams"]}), "array<string>")
+    none = F.array().cast("array<struct<license:string,score:double,unit:string,passage:bigint>>")
+
+    def dice(g: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(g, t["grams"])) * 2.0 / (F.size(g) + F.size(t["grams"]))
+
+    def finding(t: Column, score: Column, unit: Column, passage: Column) -> Column:
+        return F.struct(t["license"].alias("license"), score.alias("score"), unit.alias("unit"), passage.cast("long").alias("passage"))
+
+    def in_units(fits: Column) -> Column:
+        """Findings in the whole text, paragraphs and lines."""
+
+        def units(kind: str, parts: Column) -> Column:
+            return F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.alias("passage"), F.array_distinct(_pairs(_words(p))).alias("g")))
+
+        def judged(u: Column) -> Column:
+            n = F.size(u["g"])
+            allowed = F.filter(fits, lambda t: (n >= t["need"]) & (n * share - 1e-9 <= F.size(t["grams"])))
+            return F.filter(F.transform(allowed, lambda t: finding(t, dice(u["g"], t), u["unit"], u["passage"])), lambda x: x["score"] >= least)
+
+        found = F.flatten(F.transform(F.concat(units("text", F.array(text)), units("paragraph", F.split(text, r"\n[ \t\r]*\n\s*")), units("line", F.split(text, "\n"))), judged))
+        return once(found, lambda f: F.filter(f, lambda x: ~F.exists(f, lambda y: (y["license"] == x["license"]) & (y["unit"] == x["unit"]) & (y["passage"] == x["passage"]) & (y["score"] > x["score"]))))
+
+    def in_windows(fits: Column, grams: Column) -> Column:
+        """Findings in windows of a template's size: only such are compared in which enough of its pairs stand."""
+
+        def of(t: Column) -> Column:
+            hits = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+            last = F.greatest(F.lit(0), F.size(grams) + 1 - t["size"])  # the last window of the text
+
+            def starts(h: Column) -> Column:
+                # the need-th hit from each one on lies in the window, whose pairs are size - 1
+                far = lambda k: F.get(h, k + t["need"] - 1)
+                each = F.transform(h, lambda a, k: F.when(far(k) - a <= t["size"] - 2, F.sequence(F.least(last, F.greatest(F.lit(0), far(k) - t["size"] + 2)), F.least(last, a))))
+                return F.array_sort(F.array_distinct(F.flatten(F.filter(each, lambda x: x.isNotNull()))))
+
+            cut = F.transform(once(hits, starts), lambda b: F.struct(b.alias("b"), dice(F.array_distinct(F.slice(grams, b + 1, t["size"] - 1)), t).alias("score")))
+
+            def best(good: Column) -> Column:
+                better = lambda y, x: (F.abs(y["b"] - x["b"]) < t["size"]) & ((y["score"] > x["score"]) | (y["score"] == x["score"]) & (y["b"] < x["b"]))
+                return F.filter(good, lambda x: ~F.exists(good, lambda y: better(y, x)))
+
+            return F.transform(once(F.filter(cut, lambda x: x["score"] >= least), best), lambda x: finding(t, x["score"], F.lit("window"), x["b"]))
+
+        return F.flatten(F.transform(fits, of))
+
+    def findings(grams: Column) -> Column:
+        known = F.array_intersect(grams, every)
+        fits = once(known, lambda u: F.when(F.size(u) > 0, F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], u)) >= t["need"])))
+        return once(fits, lambda f: F.when(F.size(f) > 0, F.concat(in_units(f), in_windows(f, grams))))
+
+    rare = literal(probes(templates, least), "array<string>")
+    return docs.withColumn(out_col, F.coalesce(once(_words(text), lambda w: F.when(F.arrays_overlap(w, rare), once(_pairs(w), findings))), none))

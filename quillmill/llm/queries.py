@@ -18,15 +18,20 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.round(best, 9).alias("best_score"))
 
 
-_NAMES, _TEXTS = [n for n, _ in licenses.TEMPLATES], [" ".join(licenses.words(t)) for _, t in licenses.TEMPLATES]
-_GRAMS = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+_NAMES, _TEXTS = [n for n, _ in licenses.TEMPLATES + licenses.PARTS], [" ".join(licenses.words(t)) for _, t in licenses.TEMPLATES + licenses.PARTS]
+_GRAMS = "list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])"
+_WORDS = f"list_filter(string_split(regexp_replace(translate({{}}, {ASCII}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+#: Which templates can be in a text at all follows from joined pairs; of these all windows, lines and paragraphs are compared.
 OP1 = f"""
-WITH t AS (SELECT license, {_GRAMS} AS g FROM (SELECT unnest({_NAMES!r}) AS license, string_split(unnest({_TEXTS!r}), ' ') AS w)),
+WITH t AS (SELECT tid, license, len(w) AS size, list_distinct({_GRAMS}) AS g FROM (SELECT unnest(range({len(_NAMES)})) AS tid, unnest({_NAMES!r}) AS license, string_split(unnest({_TEXTS!r}), ' ') AS w)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-p AS (SELECT r, text AS p FROM d UNION ALL SELECT r, unnest(string_split(text, chr(10))) FROM d
-      UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n\\s*')) FROM d),
-b AS (SELECT r, {_GRAMS} AS g FROM (SELECT r, string_split(trim(regexp_replace(translate(p, {ASCII}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM p)),
-m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS score FROM b, t WHERE len(b.g) BETWEEN 1 AND 3000),
+w AS (SELECT r, {_GRAMS} AS g FROM (SELECT r, {_WORDS.format('text')} AS w FROM d)),
+f AS (SELECT r, tid FROM (SELECT r, unnest(list_distinct(g)) AS gram FROM w) JOIN (SELECT tid, len(g) AS n, unnest(g) AS gram FROM t) USING (gram) GROUP BY r, tid, n HAVING count(*) * 3 >= n * 2),
+p AS (SELECT r, tid, text AS p FROM f JOIN d USING (r) UNION ALL SELECT r, tid, unnest(string_split(text, chr(10))) FROM f JOIN d USING (r)
+      UNION ALL SELECT r, tid, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n\\s*')) FROM f JOIN d USING (r)),
+c AS (SELECT r, tid, list_distinct({_GRAMS}) AS g FROM (SELECT r, tid, {_WORDS.format('p')} AS w FROM p)
+      UNION ALL SELECT r, tid, list_distinct(w.g[i:i + size - 2]) FROM f JOIN w USING (r) JOIN t USING (tid), unnest(range(1, greatest(1, len(w.g) - size + 2) + 1)) AS u(i)),
+m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(c.g, t.g)) / (len(c.g) + len(t.g)) AS score FROM c JOIN t USING (tid) WHERE len(c.g) > 0),
 x AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(score) AS best FROM m WHERE score >= 0.8 GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, round(coalesce(best, 0), 9)::DOUBLE AS best_score FROM d LEFT JOIN x USING (r)
 """
