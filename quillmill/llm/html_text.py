@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -26,63 +27,72 @@ SCOPES = set("ul ol dl table body article main div section".split())
 
 
 class Page(HTMLParser):
-    """Lines of a page. A line is a block's text with the tags in it, its place in the tree, and whether it may be article text."""
+    """Lines of a page. A line is a block's text with the tags in it, the element it stands in, and whether it may be article
+    text. Elements are numbered as they open, so a parent's number is less than its children's; what is asked of the elements
+    about another is kept with each, so that the work grows with the page's length however deep it is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # (element, number, its text may be the article's)
-        self.kinds: dict[int, str] = {}
+        self.open: list[int] = [0]  # the elements open now; 0 stands for the page
+        self.n_open: Counter = Counter()  # open elements of each kind
+        self.kinds, self.parents = [""], [-1]
+        self.may = [True]  # the element's text may be the article's
+        self.inside = [False]  # in an article or main element, or one itself
+        self.apart = [False]  # the element's text isn't the text of the block it stands in
         self.named: set[int] = set()  # elements whose names alone say that they stand around an article
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
-        self.tags = self.count = 0
+        self.tags = 0
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), not self.stack or self.stack[-1][2]))
+            self.lines.append((text, self.tags, self.open[-1], self.may[self.open[-1]]))
             self.tags = 0
         self.text = []
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
-            if any(t == "p" for t, _, _ in self.stack) and tag not in ("caption", "td", "th", "tr", "tbody"):
+            if self.n_open["p"] and tag not in ("caption", "td", "th", "tr", "tbody"):
                 self.close_to("p")
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in CLOSES.get(tag, ()):
-                del self.stack[i:]
-                break
-            if self.stack[i][0] in SCOPES:
-                break
-        self.count += 1
-        self.kinds[self.count] = tag
-        attrs = dict(attrs)
-        if self.by_name(tag, attrs):
-            self.named.add(self.count)
-        self.stack.append((tag, self.count, (not self.stack or self.stack[-1][2]) and not self.around(tag, attrs)))
-
-    def around(self, tag, attrs):
-        if tag in NEVER:
-            return True
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag == "header" and not inside:
+        if any(self.n_open[t] for t in CLOSES.get(tag, ())):
+            for i in range(len(self.open) - 1, 0, -1):
+                kind = self.kinds[self.open[i]]
+                if kind in CLOSES[tag]:
+                    self.shut(i)
+                    break
+                if kind in SCOPES:
+                    break
+        up, attrs = self.open[-1], dict(attrs)
+        at = len(self.kinds)
+        self.kinds.append(tag)
+        self.parents.append(up)
+        if self.by_name(tag, attrs, up):
+            self.named.add(at)
+        self.may.append(self.may[up] and not self.around(tag, attrs, up))
+        self.inside.append(self.inside[up] or tag in ("article", "main"))
+        self.apart.append(tag not in BLOCKS and (self.apart[up] or at in self.named or self.may[up] and not self.may[at]))
+        self.open.append(at)
+        self.n_open[tag] += 1
+
+    def around(self, tag, attrs, up):
+        if tag in NEVER or tag == "header" and not self.inside[up]:
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
             return True
         return (attrs.get("role") or "").lower() in ROLES
 
-    def by_name(self, tag, attrs):
+    def by_name(self, tag, attrs, up):
         if tag in WHOLE:
             return False
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return bool(AROUND.search(names)) or not inside and bool(HEADER.search(names))
+        return bool(AROUND.search(names)) or not self.inside[up] and bool(HEADER.search(names))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -90,27 +100,43 @@ class Page(HTMLParser):
         self.tags += 1
         self.close_to(tag)
 
+    def shut(self, i):
+        """Close the elements from the i-th open one on."""
+        for n in self.open[i:]:
+            self.n_open[self.kinds[n]] -= 1
+        del self.open[i:]
+
     def close_to(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+        if not self.n_open[tag]:
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            kind = self.kinds[self.open[i]]
+            if kind == tag:
+                self.shut(i)
                 return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS or tag == "p" and self.stack[i][0] in WHOLE:
+            if tag not in BLOCKS and kind in BLOCKS or tag == "p" and kind in WHOLE:
                 return
 
     def handle_data(self, data):
-        if self.apart():
-            return
-        self.text.append(data)
-
-    def apart(self):
-        """Whether the innermost open element, or an inline one about it, isn't the text of the block it stands in."""
-        for tag, n, ok in reversed(self.stack):
-            if tag in BLOCKS:
-                return ok and not self.stack[-1][2]
-            if n in self.named:
-                return True
-        return bool(self.stack) and not self.stack[-1][2]
+        if not self.apart[self.open[-1]]:
+            self.text.append(data)
+
+    def about(self, found: set[int]) -> list[bool]:
+        """Of each element, whether it or one about it is among those found."""
+        out: list[bool] = []
+        for n, up in enumerate(self.parents):
+            out.append(n in found or up >= 0 and out[up])
+        return out
+
+    def weights(self, chosen: list[bool]) -> list[int]:
+        """Of each element, the characters of chosen lines in it."""
+        out = [0] * len(self.kinds)
+        for (text, _, n, _), yes in zip(self.lines, chosen, strict=True):
+            if yes:
+                out[n] += len(text)
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parents[n]] += out[n]
+        return out
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -123,30 +149,32 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def judged(page: Page, high: list[bool]) -> list[tuple[str, int, tuple[int, ...], bool]]:
-    """The lines of a page, also refused where they are in an element of a refused name; high: lines over the ratio bound.
+def judged(page: Page, high: list[bool]) -> list[bool]:
+    """Whether each line may be article text, where it is refused in an element of a refused name, too; high: lines over the
+    ratio bound.
 
     Where no article or main element elsewhere has high lines, an element that holds one and half of the high text, or nine
     tenths of it without one, is not refused for its name.
     """
-    free = [h and ok and not page.named & set(path) for h, (_, _, path, ok) in zip(high, page.lines, strict=True)]
-    named = page.named
-    if not any(f and any(page.kinds[n] in ("article", "main") for n in path) for f, (_, _, path, _) in zip(free, page.lines, strict=True)):
-        total, held, whole = 0, {}, set()
-        for h, (text, _, path, ok) in zip(high, page.lines, strict=True):
-            if h and ok:
-                total += len(text)
-                for i, n in enumerate(path):
-                    held[n] = held.get(n, 0) + len(text)
-                    if any(page.kinds[m] in ("article", "main") for m in path[i:]):
-                        whole.add(n)
-        named = {n for n in named if not (2 * held.get(n, 0) >= total > 0 if n in whole else 10 * held.get(n, 0) >= 9 * total > 0)}
-    return [(text, tags, path, ok and not named & set(path)) for text, tags, path, ok in page.lines]
+    refused = page.about(page.named)
+    ok = [may and not refused[n] for _, _, n, may in page.lines]
+    if any(h and yes and page.inside[n] for h, yes, (_, _, n, _) in zip(high, ok, page.lines, strict=True)):
+        return ok
+    held = page.weights([h and may for h, (_, _, _, may) in zip(high, page.lines, strict=True)])
+    whole = {n for n, kind in enumerate(page.kinds) if kind in ("article", "main") and held[n]}
+    for n in range(len(page.kinds) - 1, 0, -1):
+        if n in whole:
+            whole.add(page.parents[n])
+    refused = page.about({n for n in page.named if not (2 * held[n] >= held[0] > 0 if n in whole else 10 * held[n] >= 9 * held[0] > 0)})
+    return [may and not refused[n] for _, _, n, may in page.lines]
 
 
 def blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
     page = Page()
+    end = html.rfind(">") + 1
+    if cut := re.compile("<[A-Za-z/!?]").search(html, end):  # nor is a tag that is cut off, which the parser would look at again and again
+        html = html[: cut.start()]
     at = html.rfind("<!--")
     page.feed(html[:at] if at >= 0 and "-->" not in html[at:] and "</" not in html[at:] else html)  # a comment cut off isn't text
     page.close()
@@ -155,26 +183,19 @@ def blocks(html: str) -> list[str]:
         return []
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in page.lines])
     mean = sum(ratios) / len(ratios)
-    bound = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    page.lines = judged(page, [r >= min(bound, mean) for r in ratios])
-    content = [ok and r >= min(bound, mean) for r, (_, _, _, ok) in zip(ratios, page.lines, strict=True)]
+    bound = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+    ok = judged(page, [r >= bound for r in ratios])
+    content = [yes and r >= bound for r, yes in zip(ratios, ok, strict=True)]
     if not any(content):
-        content = [ok for _, _, _, ok in page.lines]
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, path, _), ok in zip(page.lines, content, strict=True):
-        if ok:
-            total += len(text)
-            for n in path:
-                weight[n] = weight.get(n, 0) + len(text)
-    named = [n for n in weight if page.kinds[n] in ("article", "main") and 2 * weight[n] >= total]
+        content = ok
+    weight = page.weights(content)
+    named = [n for n, kind in enumerate(page.kinds) if kind in ("article", "main") and weight[n] and 2 * weight[n] >= weight[0]]
     if named:
         top = min(named, key=lambda n: (page.kinds[n] != "article", -weight[n], n))
-        return [text for text, _, path, ok in page.lines if ok and top in path]
-    holding = [n for n in weight if 10 * weight[n] >= 9 * total]
-    top = max(holding, default=None)
-    inside = [i for i, (_, _, path, ok) in enumerate(page.lines) if ok and (top is None or top in path)]
-    return [page.lines[i][0] for i in inside] if any(content[i] for i in inside) else []
+    else:
+        top = max((n for n, w in enumerate(weight) if w and 10 * w >= 9 * weight[0]), default=0)
+    within = page.about({top})
+    return [text for (text, _, n, _), yes in zip(page.lines, ok, strict=True) if yes and within[n]]
 
 
 def main_text(html: str | None) -> str:
@@ -188,7 +209,8 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     the ratios' standard deviation, or their mean where that is lower, are content. The article is the article or main element
     with at least half of the content's characters, else the innermost element with nine tenths; all its
     lines count but those of menus, headers, footers, sidebars, notices, adverts, forms and comments.
-    Null, empty and textless pages give an empty text. Repeated rows stay repeated; other columns pass.
+    Null, empty and textless pages give an empty text. Very long and deep pages take time in proportion to their length.
+    Repeated rows stay repeated; a column of pages named out_col gives way, other columns pass. No rows give none.
     """
 
     def run(html):
