@@ -155,4 +155,10 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
 """
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_html, op4_secrets, op5_urls, op6_topk, op7_mixing, op8_toxicity, op9_repeats, op10_decontamination)}
-SQL = {"op1_licenses": OP1, "op5_urls": _op5_sql(), "op6_topk": OP6, "op7_mixing": OP7, "op10_decontamination": OP10}
+
+
+def __getattr__(name: str):
+    """SQL is put together when it is asked for, as that of op5_urls needs the fitted regression."""
+    if name == "SQL":
+        return {"op1_licenses": OP1, "op5_urls": _op5_sql(), "op6_topk": OP6, "op7_mixing": OP7, "op10_decontamination": OP10}
+    raise AttributeError(name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+import random
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +14,15 @@ from .common import ascii_lower
 #: (host/path, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 SIZES, BUCKETS, SCALE = (3, 4, 5), 4096, 10_000
-BLOCKED = "casino-win cheap-pills free-bets spam-farm ads-track adult-x online-casino poker-bonus slot-jackpot bet-now sports-betting pills-online pharmacy-deals viagra-shop weight-loss payday-loan fast-loans crypto-doubler get-rich win-prize free-gift click-ads ad-server popup-ads banner-track pixel-tracker spam-mail link-farm seo-links adult-video xxx-tube hot-dates escort-club replica-watches fake-brands warez-crack keygen-zone torrent-leech phish-login lottery-winner".split()
-ALLOWED = "thering theron thnder ention reedth handly ontor therest stion erin museum library university garden recipes weather history science journal gazette herald tribune hospital council railway theatre orchestra gallery archive observatory botany cycling hiking cooking knitting carpentry astronomy geology chemistry grammar poetry novels museum-friends city-council open-data river-walks old-maps bird-watch home-baking town-news field-notes".split()
-PATHS = ["/", "/en/12", "/fr/345/", "/de/67.html", "/es/890", "/news/2020/05/", "/en/541", "/about"]
-BLOCKED_PATHS = ["/casino/bonus", "/buy-pills/cheap", "/free-bets/win", "/ads/click", "/xxx/video", "/win/prize"]
+#: Words of the labelled table's hosts and paths: what to block, what to allow, and what stands beside both.
+BLOCKED = "casino poker slots jackpot bets betting roulette gambling lottery bookmaker pills pharmacy viagra cialis steroids porn xxx adult escort hookup webcam payday loan debt crypto forex doubler replica fakes warez crack keygen torrent phish spam clickbait adserver popup tracker banner malware prize freebie weightloss cheap free win bonus ads farm rich".split()
+ALLOWED = "museum library university garden recipes weather history science journal gazette herald tribune hospital council railway theatre orchestra gallery archive observatory botany cycling hiking cooking knitting carpentry astronomy geology chemistry grammar poetry novels github stackoverflow wikipedia nytimes python kernel docs school news travel maps health sports music film photo kitchen house market road mountain river forest island village bridge harbour".split()
+BESIDE = "my the online hub daily city open top best world club zone net web live now shop site blog land life".split()
+SUBS, TOPS = ["", "", "www.", "blog.", "m.", "en."], ["example.com", "example.org", "example.net", "com", "org", "net", "de", "co.uk"]
+ALLOWED_PATHS = ["/", "/en/12", "/fr/345/", "/de/67.html", "/es/890", "/news/2020/05/", "/about", "/wiki/Main_Page", "/questions/1/how-to", "/torvalds/linux", "/section/world", "/docs/api.html", ""]
+BLOCKED_PATHS = ["/casino/bonus", "/buy-pills/cheap", "/free-bets/win", "/ads/click", "/xxx/video", "/win/prize", "/payday-loan", "/torrent/get"]
+#: A row of the table counts its n-grams in parts of NORM, for even steps.
+ROWS, SEED, STEPS, RATE, RIDGE, NORM = 2400, 17, 300, 0.1, 0.0001, 5.0
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -26,18 +31,29 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
 
 
-def labelled() -> list[tuple[str, str, int]]:
-    """The small labelled table: (host, path, 1 to block)."""
-    subs, tops = ["", "www.", "blog.", "m."], ["example.com", "example.org", "example.net", "com", "org"]
+def labelled(rows: int = ROWS) -> list[tuple[str, str, int]]:
+    """The small labelled table, made by rules: (host, path, 1 to block). A host is a made-up name or holds a word; a host or a
+    path with a word of BLOCKED is to be blocked, an address without either isn't."""
+    r = random.Random(SEED)
+
+    def made_up() -> str:
+        parts = ["".join(r.sample(["", r.choice("bcdfghklmnprstvw"), r.choice(["th", "st", "nd", "ch", "tr", ""])], 2)) + r.choice(["a", "e", "i", "o", "u", "ea", "ou", "io"]) + r.choice(["", "", "n", "r", "s", "l", "t", "d"]) for _ in range(r.randint(1, 4))]
+        return "".join(parts)
+
+    def host(words: list[str]) -> str:
+        name = [r.choice(words), *r.sample([r.choice(BESIDE), made_up(), r.choice(words)], r.randint(0, 1))]
+        r.shuffle(name)
+        return r.choice(SUBS) + r.choice(["", "-"]).join(name) + "." + r.choice(TOPS)
+
     out = []
-    for label, names in ((1, BLOCKED), (0, ALLOWED)):
-        for i, n in enumerate(names):
-            out += [(f"{subs[(i + j) % 4]}{n}.{tops[(i + 2 * j) % 5]}", PATHS[(3 * i + j) % 8], label) for j in range(2)]
-    bits = "th er in on an re ti or ea st nd ou he ar mo li ka su".split()
-    for i in range(120):  # made-up names, so that common letters and places don't tell
-        name = "".join(bits[(i * k + i // 7 + 3 * k) % len(bits)] for k in range(1, 4 + i % 3))
-        out.append((f"{subs[i % 4]}{name}.{tops[i % 5]}", PATHS[i % 8], 0))
-    return out + [(f"{subs[i % 4]}{ALLOWED[i]}.{tops[i % 5]}", p, 1) for i, p in enumerate(BLOCKED_PATHS)]
+    for i in range(rows):
+        if i % 12 == 11:  # a harmless host, and a path that isn't
+            out.append((host(ALLOWED), r.choice(BLOCKED_PATHS), 1))
+        elif i % 3 == 1:
+            out.append((host(BLOCKED), r.choice(ALLOWED_PATHS), 1))
+        else:
+            out.append((host(ALLOWED if i % 2 else [made_up()]), r.choice(ALLOWED_PATHS), 0))
+    return out + [("", "", 0)] * 40
 
 
 def parts(host: str, path: str) -> list[str]:
@@ -49,26 +65,28 @@ def bucket(gram: str) -> int:
     return int(hashlib.md5(gram.encode()).hexdigest()[:3], 16)
 
 
+def fit_rows(table: list[tuple[str, str, int]]) -> tuple[list[int], int]:
+    """(weight of each bucket, bias), in units of 1 / SCALE, so that sums are exact; gradient descent over the table, with steps
+    that shrink where slopes have been steep."""
+    import numpy as np
+
+    grams = [[bucket(g) for g in parts(host, path)] for host, path, _ in table]
+    row, column = np.repeat(np.arange(len(table)), [len(g) for g in grams]), np.array([b for g in grams for b in g])
+    y = np.array([label for *_, label in table], np.float64)
+    w, b, seen = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
+    for _ in range(STEPS):
+        miss = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(y)) / NORM + b, -30, 30))) - y
+        slope = np.bincount(column, miss[row], BUCKETS) / (NORM * len(y)) + RIDGE * w
+        seen += slope**2
+        w -= RATE * slope / np.sqrt(seen)
+        b -= miss.mean()
+    return [round(v / NORM * SCALE) for v in w.tolist()], round(b * SCALE)
+
+
 @lru_cache(maxsize=1)
 def fit() -> tuple[list[int], int]:
-    """(weight of each bucket, bias), in units of 1 / SCALE, so that sums are exact; plain gradient descent over the table."""
-    rows = []
-    for host, path, y in labelled():
-        count: dict[int, int] = {}
-        for b in map(bucket, parts(host, path)):
-            count[b] = count.get(b, 0) + 1
-        rows.append((count, y))
-    w, bias = [0.0] * BUCKETS, -1.0
-    for _ in range(300):
-        slope: dict[int, float] = {}
-        for count, y in rows:
-            z = bias + sum(w[b] * n for b, n in count.items())
-            miss = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
-            for b, n in count.items():
-                slope[b] = slope.get(b, 0.0) + miss * n
-        for b, s in slope.items():
-            w[b] -= 0.02 * (s + 0.05 * w[b])
-    return [round(x * SCALE) for x in w], round(bias * SCALE)
+    """The regression over the whole labelled table."""
+    return fit_rows(labelled())
 
 
 def logit(host: Column, path: Column) -> Column:
