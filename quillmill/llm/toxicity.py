@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,8 @@ SIZES = (4, 6, 8)
 BITS = 22
 #: Bounds of the training sample: rows of each class, characters of a text that may be in it, characters altogether.
 ROWS_PER_CLASS, TEXT_CHARS, ALL_CHARS = 2500, 100_000, 20_000_000
-#: Features with less evidence than this chi-square take no part; at most FEATURES of them do.
+#: Features with less evidence than this chi-square take no part, or in a smaller sample as much less as it has fewer rows;
+#: at most FEATURES of them do.
 CHI2, FEATURES = 30.0, 8192
 WINDOW = 1 << 20
 STEPS, RIDGE = 400, 1e-5
@@ -71,7 +72,7 @@ def fit_texts(rows: list[tuple[str, int]]) -> Model:
     expected = both * n[1] / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.where(both > 1, (counts[1] - expected) ** 2 * n.sum() / (expected * np.maximum(n.sum() - both, 1) * n[0] / n.sum()), 0)
-    kept = np.flatnonzero(chi2 >= CHI2)
+    kept = np.flatnonzero(chi2 >= CHI2 * min(1.0, n.sum() / (2 * ROWS_PER_CLASS)))
     kept = kept[np.argsort(-chi2[kept], kind="stable")[:FEATURES]]
     if not len(kept):
         return Model(lut, np.zeros(1), float(np.log((n[1] + 1) / (n[0] + 1))))
@@ -102,12 +103,17 @@ def held_out(c):
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most ROWS_PER_CLASS labelled rows a class, chosen by a hash of their ids, never held-out ones."""
+    """(text, toxic) of at most ROWS_PER_CLASS labelled rows a class, chosen by a hash of their ids, never held-out ones.
+
+    Twice as many ids are looked up, so that texts of more than TEXT_CHARS characters are replaced as far as these go.
+    """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    ids = [known.filter(F.col("toxic") == c).orderBy(*order).limit(ROWS_PER_CLASS) for c in (0, 1)]
-    picked = docs.select("doc_id", "text").filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    return picked.orderBy(*order, "text").limit(2 * ROWS_PER_CLASS).select("text", "toxic")
+    ids = [known.filter(F.col("toxic") == c).orderBy(*order).limit(2 * ROWS_PER_CLASS) for c in (0, 1)]
+    met = docs.select("doc_id", "text").filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    kept = F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "text"))  # a few thousand rows
+    picked = met.withColumn("k", kept).filter(F.col("k") <= ROWS_PER_CLASS)
+    return picked.orderBy(*order, "text").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
