@@ -16,15 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: what spark.checkpoint.dir names, or in local mode, as in tests, one made here."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir", None):
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quillmill-checkpoint-")
 
-    Only where no folder is named, as in tests, one is set here.
-    """
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later step reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -73,6 +85,7 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 
 #: Keys with more than this part of all rows are joined by broadcast; there are fewer of them than this.
 HOT_KEYS = 10_000
+FEW_ROWS = 1_000_000
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
@@ -85,3 +98,23 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
     hot = F.broadcast(keyed.filter(F.col(n) > total / HOT_KEYS).drop(n))
     cold = keyed.filter(F.col(n) <= total / HOT_KEYS).drop(n)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def look_up(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows, checkpointed, left-joined with keyed, of at most one row a key and one more column, by key, without a task that
+    gets all rows of a hot key.
+
+    Keys with more than total / HOT_KEYS of the rows are fewer than HOT_KEYS; theirs are broadcast, and such rows take part in
+    the shuffle under no key. total: about the number of rows; up to FEW_ROWS any task can take them all.
+    """
+    if total <= FEW_ROWS:
+        return rows.join(keyed, key, "left")
+    (value,) = (c for c in keyed.columns if c != key)
+    hot = rows.groupBy(key).count().filter(F.col("count") > total / HOT_KEYS).select(key)
+    hot = F.broadcast(keyed.join(F.broadcast(hot), key).select(F.col(key).alias("_hot"), F.col(value).alias("_known")))
+    met = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    # a hot key's rows are dealt out by a number that is below any part a plain key has
+    met = met.withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(-1 - F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))))
+    cold = keyed.select(F.col(key).alias("_key"), value, F.lit(0).cast("long").alias("_zero"))
+    met = met.join(cold, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_zero")), "left")
+    return met.withColumn(value, F.coalesce("_known", value)).drop("_hot", "_known", "_part", "_key", "_zero")

@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")))
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    classes = components(links(first)).join(first.select(F.col("fp").alias("node"), "first_id"), "node")
-    least = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked = classes.join(least, "label").select(F.col("node").alias("fp"), "component_id")
+    classes = saved(components(links(first)).join(first.select(F.col("fp").alias("node"), "first_id"), "node"))
+    least = saved(classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    linked = join_hot(classes, least, "label", "n").select(F.col("node").alias("fp"), "component_id")
     ids = saved(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n"))
     return join_hot(fps, ids, "fp", "n").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
