@@ -187,12 +187,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_
 
     Ten consecutive words of an item are a window; an item of fewer, but not none, is one. Null and wordless texts on either
     side share nothing. Repeated documents each get their result; of repeated item ids one is named, and a null id counts as "".
-    An empty benchmark hits nothing. The index of a benchmark up to BLOCK_CHARS is broadcast; a larger one goes in blocks of
+    An empty benchmark hits nothing. A column of docs named out_col gives way. The index of a benchmark up to BLOCK_CHARS is broadcast; a larger one goes in blocks of
     about that size, one after the other, and the blocks' results are joined row by row.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_CHARS) or 1
+    kept = [c for c in docs.columns if c.lower() != out_col.lower()]
     parts, names = docs, []
     for k in range(blocks):
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]))
@@ -205,12 +206,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_
         names.append(free_name(parts, out_col))
         parts = parts.withColumn(names[-1], F.arrow_udf(find, RESULT)(F.col(text_col)))
     if blocks == 1:
-        return parts.withColumnRenamed(names[0], out_col)
+        return parts.select(*kept, F.col(names[0]).alias(out_col))
     every = lambda f: F.flatten(F.array(*[F.col(n)[f] for n in names]))
     words = F.array_sort(F.array_distinct(F.flatten(F.transform(every("spans"), lambda s: F.sequence(s["first"], s["last"])))))
     spans = F.transform(words, lambda x: F.struct(x.alias("first"), x.alias("last")))
     merged = F.struct(F.col(names[0])["n_words"].alias("n_words"), F.array_sort(F.array_distinct(every("items"))).alias("items"), spans.alias("spans"))
-    return parts.withColumn(out_col, merged).drop(*names)
+    return parts.select(*kept, merged.alias(out_col))
 
 
 def n_hit(overlap):

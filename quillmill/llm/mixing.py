@@ -61,7 +61,7 @@ def copies(docs: DataFrame, size: str, seed: int = 0, out_col: str = "mix") -> D
     neighbours of like size stand for each other, and the words taken come near the target. The running sum never gathers a
     source in one task: documents are counted in small groups of consecutive ranks, the groups' counts are summed up, and ranks
     are given within groups. A source of size 0 has target 0. Null sources are a source of their own, the last. Repeated rows
-    are separate documents. Empty docs give none. Needs columns doc_id and source; all others pass.
+    are separate documents. Empty docs give none. Needs columns doc_id and source; all others pass, but one named out_col gives way.
     """
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     row = F.struct(*docs.columns)
@@ -83,7 +83,8 @@ def copies(docs: DataFrame, size: str, seed: int = 0, out_col: str = "mix") -> D
     rows = rows.alias("l").join(small(plan, BROADCAST_ROWS).alias("r"), _same("source", "band", "part")).select("l.row", "r.source_size", "r.target", "r.start", (F.col("l.k") + F.col("r.before")).alias("rank"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n = F.floor(F.col("rank") * each + F.col("start")) - F.floor((F.col("rank") - 1) * each + F.col("start"))
-    return rows.select("row.*", F.struct("source_size", "target", n.alias("copies")).alias(out_col))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != out_col.lower()]
+    return rows.select(*kept, F.struct("source_size", "target", n.alias("copies")).alias(out_col))
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
