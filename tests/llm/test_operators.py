@@ -246,6 +246,34 @@ def test_page_text_leaves_inline_parts_out():
     assert html_text.main_text(page) == "A\n\nB c\n\nD"
 
 
+def test_page_text_by_ratio_alone(monkeypatch):
+    long = ["Words of a long paragraph of the story. " * 12 + str(i) for i in range(6)]
+    links = "".join(f"<p><a href=x>Link {i}</a> <a href=y>more</a></p>" for i in range(8))
+    page = f"<body><div><div>{links}</div><div>" + "".join(f"<p>{x}</p>" for x in long) + f"</div><div>{links}</div></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(long)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: [-r for r in ratios])
+    assert html_text.main_text(page) != "\n\n".join(long)
+
+
+@pytest.mark.parametrize("piece", ["<div>word", "<b>word", "<p class=ads>word<span>x", "</section><ul><li>x", "<td>x<li>y", "<a href='", "<!", "&#", "<![CDATA[", "</"])
+def test_long_and_deep_pages_take_little_time(piece):
+    import time
+
+    began = time.time()
+    html_text.main_text(piece * (400_000 // len(piece)))
+    assert time.time() - began < 8
+
+
+def test_pages_with_odd_rows(spark):
+    page = "<article><p>" + "Long text of the page. " * 20_000 + "</p></article>"
+    rows = [(1, None), (2, ""), (3, page), (3, page), (None, "<p>One, two, three."), (4, "\0<p>a\0b")]
+    df = spark.createDataFrame([(i, h, "x", 7) for i, h in rows], "page_id long, html string, text string, tags int")
+    got = html_text.extract(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.page_id), r.text, r.tags) for r in got.collect())[:4] == [("1", "", 7), ("2", "", 7), ("3", ("Long text of the page. " * 20_000).strip(), 7), ("3", ("Long text of the page. " * 20_000).strip(), 7)]
+    assert html_text.extract(df.limit(0)).collect() == []
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.NET/en/x?y"), (4, "https://x.net"), (5, "http://www.casino-win.example.com/en/1"), (6, "http://x.org/fr/"), (7, "http://museum.example.com/fr/#/de/")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")).collect()}
@@ -269,6 +297,101 @@ def test_topk_equals_brute_force(spark):
     assert (5150, 1) not in got
 
 
+def test_blocks_are_skipped_where_vectors_are_clustered():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(40, 32))
+    clustered = np.concatenate([c + 0.05 * r.normal(size=(256, 32)) for c in centres])
+    for vectors, least, most in ((clustered, 0.8, 1.0), (r.normal(size=clustered.shape), 0.0, 0.2)):
+        x, ids = topk.quantised(vectors), np.arange(len(vectors))
+        q_ids = ids[::100]
+        found = topk.Best(q_ids, x[q_ids], topk.floors_of(q_ids, x[q_ids], ids[:2048], x[:2048], 5), 5)
+        for at in range(0, len(ids), 2560):  # batches of a partition
+            found.add(ids[at : at + 2560], x[at : at + 2560])
+        scores = x[q_ids] @ x.T
+        scores[np.arange(len(q_ids)), q_ids] = -np.inf
+        want = {(int(q), int(i), int(s[i])) for q, s in zip(q_ids, scores, strict=True) for i in np.lexsort((ids, -s))[:5]}
+        assert set(found.rows()) == want and least <= found.skipped / (found.skipped + found.scored) <= most
+
+
+def test_topk_of_odd_rows(spark, monkeypatch):
+    kind = "vec_id long, embedding array<float>, x string, rank int, score string"
+    rows = [(0, [1.0, 2.0], "x", 1, "s"), (50, [2.0, 1.0], "x", 1, "s"), (50, [2.0, 1.0], "x", 1, "s"), (50, [3.0, 1.0], "x", 1, "s"), (None, [1.0, 1.0], "x", 1, "s"), (3, [], "x", 1, "s"), (100, [], "x", 1, "s"), (4, [float("inf"), 0.0], "x", 1, "s")]
+    df = spark.createDataFrame(rows, kind)
+    want = {(0, 1, 50, 5 * 65536), (0, 2, 50, 4 * 65536), (0, 3, 50, 4 * 65536), (50, 1, 0, 5 * 65536), (100, 1, 3, 0)}
+    assert {tuple(r) for r in topk.search(df).collect()} == want
+    monkeypatch.setattr(topk, "PASS_BYTES", 100)
+    assert {tuple(r) for r in topk.search(df.repartition(3)).collect()} == want
+    assert topk.search(df.limit(0)).collect() == [] and topk.search(df.filter("vec_id = 3")).collect() == []
+
+
+def test_urls_held_out_and_elsewhere(spark):
+    table = urls.labelled(3200)[:3200]
+    w, b = urls.fit_rows(table[: urls.ROWS])
+    say = lambda host, path: b + sum(w[urls.bucket(g)] for g in urls.parts(host, path)) > 0
+    judged = [say(h, p) == bool(y) for h, p, y in table[urls.ROWS :]]
+    assert sum(judged) >= 0.95 * len(judged)
+    urls_ = ["https://github.com/torvalds/linux", "https://stackoverflow.com/questions/1", "https://www.nytimes.com/section/world", "https://de.wikipedia.org/wiki/Berlin", "http://best-casino-slots.com/", "https://example.org/buy-pills/cheap", "https://www.free-poker.de/bonus"]
+    rows = spark.createDataFrame([(i, u, "h", 5, "p") for i, u in enumerate(urls_ + [urls_[0], None, "", "x" * 200_000, "http://" + "a" * 100_000])], "page_id long, url string, host string, logit int, verdict string")
+    got = {r.page_id: r for r in urls.judge(rows, rules=[]).collect()}
+    assert [got[i].verdict for i in range(7)] == ["allow"] * 4 + ["block"] * 3 and got[7].verdict == "allow" and got[8].verdict == got[9].verdict == got[10].verdict
+    assert len(got[11].host) == 100_000 and urls.judge(rows.limit(0)).collect() == []
+
+
+def test_columns_with_the_names_of_results_give_way(spark):
+    df = docs(spark, [(1, "a b " * 8, "s"), (2, "c", "t")]).withColumn("overlap", F.lit(1)).withColumn("findings", F.lit(2)).withColumn("licenses", F.lit(3)).withColumn("size", F.lit(4).cast("long"))
+    bench = spark.createDataFrame([(1, "a b " * 8)], "item_id long, text string")
+    for out, name in ((decontam.overlaps(df, bench), "overlap"), (mixing.copies(df, "size"), "mix"), (secrets.scan(df), "findings"), (licenses.scan(df), "licenses")):
+        assert out.columns.count(name) == 1 and set(out.columns) == set(df.columns) and out.count() == 2 and dict(out.dtypes)[name] != "int"
+
+
+def test_look_up_of_hot_keys(spark, monkeypatch):
+    from quillmill.llm import common, components
+
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(components, "FEW_ROWS", 0)
+    r = random.Random(4)
+    pairs = [(0, i) for i in range(1, 120)] + [(1000 + i, 1001 + i) for i in range(9)] + [tuple(sorted(r.sample(range(2000, 2100), 2))) for _ in range(40)]
+    label = {n: n for p in pairs for n in p}
+    for _ in range(40):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {x.node: x.label for x in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == label
+
+
+def test_a_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from quillmill.llm import common
+
+    conf = lambda named: SimpleNamespace(get=lambda key, other=None: named if key == "spark.checkpoint.dir" else other)
+    session = lambda master, named: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(named), getCheckpointDir=lambda: None))
+    assert common.shared_folder(session("spark://a:1", "/shared")) == "/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("spark://a:1", None))
+
+
+def test_toxicity_scores_equal_the_plain_model(spark):
+    model = toxicity.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, DATA).collect()}
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+
+    def bin_of(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF if h else ord(c)
+        h = ((h ^ (h >> 15)) * 0x9E3779B1 + len(gram)) & 0xFFFFFFFF
+        return ((h * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    for i, t in documents(spark):
+        t = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in f" {(t or '').lower()} ")
+        seen = {int(model.lut[bin_of(g)]) for n in toxicity.SIZES for g in grams(t, n)} - {0}
+        z = model.bias + sum(model.weights[k] for k in seen)
+        assert abs(got[i].score - 1 / (1 + 2.718281828459045**-z)) < 1e-6 and got[i].held_out == (__import__("zlib").crc32(str(i).encode()) % 5 == 0)
+
+
 def test_mixing_nears_targets(spark):
     r = random.Random(7)
     rows = [(i, "w " * r.randint(0, 60), r.choice(["a"] * 6 + ["b", "c", None])) for i in range(3000)]
