@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import decontam, mixing, neardup, secrets, toxicity
-from quillmill.llm.common import table
+from quillmill.llm.common import remove, shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +41,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written as Parquet in the shared folder and read again."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's result written as Parquet in the shared folder and read again; a table goes once
+    the next one is whole."""
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{top}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
