@@ -113,7 +113,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     met = docs.select("doc_id", "text").filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     kept = F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "text"))  # a few thousand rows
     picked = met.withColumn("k", kept).filter(F.col("k") <= ROWS_PER_CLASS)
-    return picked.orderBy(*order, "text").select("text", "toxic")
+    return picked.orderBy(*order, "text").limit(2 * ROWS_PER_CLASS).select("text", "toxic")  # one partition, so that its rows come in one job
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
