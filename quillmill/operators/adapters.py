@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import prefix_sum
-from ..functions.text import path
+from ..functions.ordered import in_ranges, prefix_sum
+from ..functions.text import path, strip
 
 
 def text_of(c: Column) -> Column:
@@ -34,8 +34,7 @@ def passages(df: DataFrame, ordinal: str, context: str = "context", question: st
     A row's predecessor is looked up by a window within ranges of the ordinal and over their edges, so no task gets all rows.
     """
     lagged = F.lag(context).over(Window.partitionBy("_p").orderBy(ordinal))
-    bounds = df.agg(F.min(ordinal).alias("_lo"), F.max(ordinal).alias("_hi"))
-    rows = df.crossJoin(F.broadcast(bounds)).withColumn("_p", F.expr(f"({ordinal} - _lo) div greatest(1L, (_hi - _lo) div 4096 + 1)")).drop("_lo", "_hi")
+    rows = in_ranges(df, ordinal, "_p")
     ends = rows.groupBy("_p").agg(F.max_by(context, ordinal).alias("_last"), F.min(ordinal).alias("_first"))
     ends = ends.select("_first", F.lag("_last").over(Window.orderBy("_p")).alias("_before"))
     rows = rows.withColumn("_prev", lagged).join(F.broadcast(ends), F.col(ordinal) == F.col("_first"), "left")
@@ -76,7 +75,7 @@ def conversational_qa(df: DataFrame, context: str, questions: str, answers: str,
     """Pairs of turns; the first question comes after the context, and unanswerable ones get a refusal. Without pairs no row."""
 
     def turns(p: Column, i: Column) -> Column:
-        a = F.when(F.trim(p["a"]) == cannot_answer, F.lit(refusal)).otherwise(p["a"]) if cannot_answer else p["a"]
+        a = F.when(strip(p["a"]) == cannot_answer, F.lit(refusal)).otherwise(p["a"]) if cannot_answer else p["a"]
         return F.array(_message("user", F.when(i == 0, F.concat(path(context), F.lit("\n\n"), p["q"])).otherwise(p["q"])), _message("assistant", a))
 
     return df.withColumn(out, F.flatten(F.transform(_zip(path(questions), path(answers)), turns))).filter(F.size(out) > 0)
@@ -85,7 +84,7 @@ def conversational_qa(df: DataFrame, context: str, questions: str, answers: str,
 def alternating(df: DataFrame, column: str = "dialogue", out: str = "messages") -> DataFrame:
     """Roles by a text's place in the whole list; then blank texts go, and rows without any left."""
     turns = F.transform(F.col(column), lambda t, i: _message(F.when(i % 2 == 0, "user").otherwise("assistant"), t))
-    return df.withColumn(out, F.filter(turns, lambda m: F.trim(m["content"]) != "")).filter(F.size(out) > 0)
+    return df.withColumn(out, F.filter(turns, lambda m: strip(m["content"]) != "")).filter(F.size(out) > 0)
 
 
 def reply_trees(df: DataFrame, ordinal: str, max_depth: int = 10_000) -> DataFrame:
