@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat, messages
+from ..functions.text import path
 from ..operators import adapters, selection
 from .catalog import Source, check_selection, local_documents, require_lock
 
@@ -45,6 +46,12 @@ def _chat(df: DataFrame, full: bool = False) -> DataFrame:
     return df.filter(F.size("messages") > 0).withColumn("segments", chat.segments(F.col("messages"), full=full))
 
 
+def _rooted(df: DataFrame, ordinal: str) -> DataFrame:
+    """The paths of reply trees, each with the ordinal of its root."""
+    roots = df.select(F.col("message_id").alias("root"), F.col(ordinal))
+    return adapters.reply_trees(df, ordinal).join(roots, "root")
+
+
 #: Adapters by name: a frame of source rows and options to one with segments.
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "plain": lambda df, columns=("text",), join="\n\n": _text(adapters.plain_text(df, tuple(columns), join)),
@@ -53,11 +60,13 @@ ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "math": lambda df: _text(adapters.math_text(df)),
     "any": lambda df: _text(adapters.any_text(df).filter("text <> ''")),
     "story": lambda df, story="story", questions="questions", answers="answers.input_text": _text(adapters.story_questions(df, story, questions, answers)),
-    "passages": lambda df, ordinal="ordinal", context="context", question="question", answer="answer": _text(adapters.passages(df, ordinal, context, question, answer).withColumnRenamed("first", ordinal)),
+    "passages": lambda df, ordinal="ordinal", context="context", question="question", answer="answer": _text(adapters.passages(df.withColumn("_a", path(answer)), ordinal, context, question, "_a").withColumnRenamed("first", ordinal)),
     "single_turn": lambda df, question="question", answer="answer", context=None: _chat(adapters.single_turn(df, question, answer, context)),
     "conversational_qa": lambda df, context="context", questions="questions", answers="answers", cannot_answer=None: _chat(adapters.conversational_qa(df, context, questions, answers, cannot_answer)),
     "alternating": lambda df, column="dialogue": _chat(adapters.alternating(df, column)),
-    "messages": lambda df, column="messages": _chat(df.withColumn("messages", messages.normalize(F.col(column).cast("string"))), True),
+    "turns": lambda df, column="messages": _chat(df.withColumn("messages", F.col(column))),
+    "reply_trees": lambda df, ordinal="ordinal": _chat(_rooted(df, ordinal)),
+    "messages": lambda df, column="messages": _chat(messages.normalize(df, column), True),
 }
 #: Objectives by name: whether labels are kept.
 OBJECTIVES = {"next-token": False, "assistant-only": True}

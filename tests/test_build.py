@@ -22,14 +22,14 @@ RAW = [
 
 def test_messages_normalize_and_render(spark):
     df = spark.createDataFrame([(json.dumps(RAW),), ("{}",), (None,), ("no list",)], "m string")
-    rows = [r.t for r in df.select(messages.normalize(F.col("m")).alias("t")).collect()]
+    rows = [r.t for r in messages.normalize(df.coalesce(1), "m", "t").collect()]
     assert rows[1:] == [[], [], []]
     user, first, second, tool = rows[0]
     assert (user.role, user.content) == ("user", "aé")
     assert (first.content, first.thinking, first.calls) == ("said", "t", ['{"name": "f", "arguments": {"x": 1}}'])
     assert (second.content, second.thinking, second.calls) == ("", "r", ['{"name": "g", "arguments": {}}'])
     assert (tool.role, tool.content) == ("tool", '{"ok": true}')
-    text = df.limit(1).select(chat.render(messages.normalize(F.col("m")), full=True)).first()[0]
+    text = messages.normalize(df.limit(1), "m", "t").select(chat.render(F.col("t"), full=True)).first()[0]
     assert text == (
         "<|im_start|>user\naé<|im_end|>\n"
         '<|im_start|>assistant\n<think>\nt\n</think>\nsaid\n<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call><|im_end|>\n'
@@ -40,7 +40,7 @@ def test_messages_normalize_and_render(spark):
 
 def test_coerced_conversations(spark):
     df = spark.createDataFrame([("[{'from': 'a', 'value': 'b'}]",), ("words",), (None,)], "v string")
-    got = [[tuple(m) for m in r.t] for r in df.select(messages.coerce(F.col("v")).alias("t")).collect()]
+    got = [[tuple(m) for m in r.t] for r in messages.coerce(df.coalesce(1), "v", "t").collect()]
     assert got == [[("a", "b")], [("raw", "words")], []]
 
 
