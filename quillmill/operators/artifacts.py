@@ -44,9 +44,9 @@ def shard_plan(sizes: list[tuple[int, int]], shard_tokens: int) -> list[tuple[in
     return out
 
 
-def assign_shards(df: DataFrame, ids: str, ordinal: str, shard_tokens: int) -> DataFrame:
+def assign_shards(df: DataFrame, size: str, ordinal: str, shard_tokens: int) -> DataFrame:
     """df with its shard; only ordinals and sizes travel to the one place where the rule runs."""
-    slim = df.select(F.col(ordinal).cast("long").alias("o"), F.size(ids).cast("long").alias("n"))
+    slim = df.select(F.col(ordinal).cast("long").alias("o"), F.col(size).cast("long").alias("n"))
 
     def plan(pdf):
         import pandas as pd
@@ -64,13 +64,27 @@ def _file(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that the file is there whole or not at all."""
+    """Written beside and put in place by one rename over what is there, so that one of the two is always there whole."""
     jvm, tmp, fs = _file(spark, path + ".tmp")
     stream = fs.create(tmp, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path), False)
-    fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(path))
+    gateway = spark.sparkContext._gateway
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    over = gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), over)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    _, p, fs = _file(spark, path)
+    return fs.exists(p)
+
+
+def fingerprint(adapter: str, options: dict, files: list[str] | None, splits: dict, version: int = VERSION) -> str:
+    """Names what decides the documents of a view beside its source's revision: adapter, options, files, splits and the engine's version."""
+    return content_hash({"adapter": adapter, "options": options, "files": sorted(files) if files else None, "splits": splits, "engine": version}, 6)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -122,7 +136,7 @@ def write(df: DataFrame, path: str, descriptor: dict, shard_tokens: int, vocab_s
     if labelled and not df.filter(F.size("ids") != F.size("labels")).isEmpty():
         raise ValueError("labels must be as long as ids")
     kind = "smallint" if vocab_size - 1 <= 32767 else "int"
-    rows = assign_shards(df, "ids", "ordinal", shard_tokens).withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
+    rows = assign_shards(df.withColumn("_n", F.size("ids")), "_n", "ordinal", shard_tokens).drop("_n").withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
     rows.repartition("shard_id").sortWithinPartitions("shard_id", "ordinal").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
     made = digests(spark.read.schema(rows.schema).parquet(f"{path}/shards"), labelled).orderBy("shard_id").collect()
     manifest = {"version": VERSION, "build": descriptor, "dtype": "int16" if kind == "smallint" else "int32", "stores_labels": labelled, "tokens": sum(r.tokens for r in made), "documents": sum(r.documents for r in made), "shards": [r.asDict() for r in made]}

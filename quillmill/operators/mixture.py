@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import hashed
+from ..functions.ordered import hashed, rank
 
 def every():
     """All rows of a short table of sources."""
@@ -97,3 +97,45 @@ def unique_names(df: DataFrame, name: str, ordinal: str) -> DataFrame:
     """Repeated names get -2, -3 and so on, in order."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(ordinal))
     return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string"))))
+
+
+# The shares of short and long windows by context length, and the mixes' ratios and caps.
+STAGE_SHARES = {2048: (0.35, 0.65), 4096: (0.27, 0.73), 8192: (0.25, 0.75)}
+PRETRAIN_RATIOS = {"tiny-textbooks": 0, "cosmopedia-v2": 30, "fineweb-edu": 34, "tinystories-v2": 30, "tiny-webtext": 0, "gooaq": 5, "squad": 1}
+PRETRAIN_RATIOS_4B = {"tiny-textbooks": 0, "cosmopedia-v2": 42, "fineweb-edu": 43, "tinystories-v2": 11, "tiny-webtext": 0, "gooaq": 3, "squad": 1}
+SFT_CAPS = {"coqa.sft": 15_000_000, "quac.sft": 12_000_000, "no-robots.sft": 8_000_000, "squad.sft": 6_000_000, "soda.sft": 4_000_000, "gooaq.sft": 3_000_000, "smoltalk.everyday.sft": None}
+
+
+def ratio_caps(sources: DataFrame, pool: int) -> DataFrame:
+    """df with cap, a whole percent ratio's share of a pool of tokens; sources of ratio 0 go. Ratios must sum to 100."""
+    if (total := sources.agg(F.coalesce(F.sum("ratio"), F.lit(0))).first()[0]) != 100:
+        raise ValueError(f"ratios must sum to 100, not {total}")
+    return sources.filter("ratio > 0").withColumn("cap", F.floor(F.col("ratio") * F.lit(pool) / 100).cast("long"))
+
+
+def concat(parts: list[tuple[str, DataFrame]], ordinal: str) -> DataFrame:
+    """One numbered set of the parts' rows: item from 0, by the parts' order and then by the ordinal; part and part_index tell
+    where a row is from. All parts have the same columns."""
+    sets = [df.withColumn("part", F.lit(name)).withColumn("part_index", F.lit(i)) for i, (name, df) in enumerate(parts)]
+    rows = sets[0]
+    for df in sets[1:]:
+        rows = rows.unionByName(df)
+    sizes = rows.groupBy("part_index").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("part_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select(F.col("part_index").alias("_i"), before.alias("_start")))  # a row a part
+    rows = rank(rows, ordinal, ("part_index",), "_r")
+    return rows.join(starts, F.col("part_index") == F.col("_i")).withColumn("item", F.col("_start") + F.col("_r") - 1).drop("_i", "_start", "_r")
+
+
+def pool_weights(short: DataFrame, long: DataFrame, short_share: float, long_share: float) -> DataFrame:
+    """(pool, n, item_weight): what each item of a short and a long pool is drawn by, so that the pools' shares come out.
+
+    Shares needn't sum to 1, but must have a positive sum; an empty long pool is an error.
+    """
+    if short_share + long_share <= 0:
+        raise ValueError("shares must be positive")
+    if long.isEmpty():
+        raise ValueError("the long pool has no windows")
+    rows = short.agg(F.count(F.lit(1)).alias("n")).withColumn("pool", F.lit("short")).unionByName(long.agg(F.count(F.lit(1)).alias("n")).withColumn("pool", F.lit("long")))
+    share = F.when(F.col("pool") == "short", F.lit(short_share)).otherwise(F.lit(long_share)) / F.lit(short_share + long_share)
+    return rows.select("pool", "n", (share / F.greatest(F.lit(1), F.col("n"))).alias("item_weight"))

@@ -91,3 +91,20 @@ def shares(sources: DataFrame, weight: str, total: int, headroom: float = 1.15)
     every = Window.partitionBy()
     share = F.col(weight) / F.sum(weight).over(every)
     return sources.withColumns({"cap_weighted": F.floor(total * F.col(weight) / F.sum(weight).over(every)), "cap_equal": F.greatest(F.lit(1).cast("long"), F.floor(F.lit(total) / F.count(F.lit(1)).over(every))), "cap_headroom": F.ceil(share * total * headroom)})
+
+
+def proportional_split(df: DataFrame, size: str, ordinal: str, shares: tuple[float, float, float] = (0.9, 0.05, 0.05)) -> DataFrame:
+    """df with how many of each row's tokens are in train, validation and test: intervals of the stream of all, cut at whole tokens."""
+    total = df.agg(F.sum(F.col(size).cast("long")).alias("_total"))
+    rows = prefix_sum(df, size, ordinal, end="_end").crossJoin(F.broadcast(total)).withColumn("_start", F.col("_end") - F.col(size))
+    whole = sum(shares)
+    cuts = [F.lit(0).cast("long"), F.floor(F.col("_total") * (shares[0] / whole)), F.floor(F.col("_total") * ((shares[0] + shares[1]) / whole)), F.col("_total")]
+    part = lambda i: F.greatest(F.lit(0).cast("long"), F.least(F.col("_end"), cuts[i + 1]) - F.greatest(F.col("_start"), cuts[i]))
+    return rows.withColumns({name: part(i).cast("long") for i, name in enumerate(("train", "validation", "test"))}).drop("_end", "_start", "_total")
+
+
+def first_texts(df: DataFrame, ordinal: str, n: int = 500, join: str = "\n\n") -> DataFrame:
+    """One row (text, documents, bytes) of the first n texts, joined: a held-out text of bounded size."""
+    rows = df.orderBy(ordinal).limit(n).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col("text").alias("t")))).alias("d"))
+    text = F.array_join(F.transform("d", lambda x: x["t"]), join)
+    return rows.select(text.alias("text"), F.size("d").alias("documents"), F.octet_length(text).alias("bytes"))

@@ -87,3 +87,51 @@ def listing(sources: DataFrame, views: DataFrame) -> DataFrame:
     """(source, pin, views): source@revision cut to 12 signs, and its sorted views, - without any."""
     names = views.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("view")), ", ").alias("views"))
     return sources.join(names, "source", "left").select("source", F.concat(F.col("repo"), F.lit("@"), F.substring("revision", 1, 12)).alias("pin"), F.coalesce("views", F.lit("-")).alias("views"))
+
+
+def loss_of(bpb: Column, bytes_per_token: Column) -> Column:
+    """The inverse of bits_per_byte()."""
+    return bpb * (LN2 * bytes_per_token)
+
+
+def masked_bytes(df: DataFrame, text: str, tokens: str, supervised: Column, by: str) -> DataFrame:
+    """(key, tokens, bytes_per_token) of the rows that are supervised alone; sums over sums."""
+    rows = df.filter(supervised).groupBy(F.col(by).alias("key")).agg(F.sum(tokens).alias("tokens"), F.sum(F.octet_length(text)).alias("bytes"))
+    return rows.select("key", "tokens", F.round(F.col("bytes") / F.col("tokens"), 6).alias("bytes_per_token"))
+
+
+def source_totals(sources: DataFrame) -> DataFrame:
+    """(key, start, finish, bytes_per_token) of sources (ordinal, key, tokens, bytes) whose tokens lie one after the other in that
+    order, and under TOTAL of all: sums over sums. Sources without tokens have no ratio; a source is a row, so these are few."""
+    end = F.sum("tokens").over(Window.orderBy("ordinal"))
+    each = sources.select("key", (end - F.col("tokens")).alias("start"), end.alias("finish"), F.when(F.col("tokens") > 0, F.col("bytes") / F.col("tokens")).alias("bytes_per_token"))
+    every = sources.filter("tokens > 0").agg(F.lit("TOTAL").alias("key"), F.lit(0).cast("long").alias("start"), F.sum("tokens").alias("finish"), (F.sum("bytes") / F.sum("tokens")).alias("bytes_per_token"))
+    return each.unionByName(every)
+
+
+def recall(trials: DataFrame) -> DataFrame:
+    """(distance, n, recall) of trials (distance, target, predicted): how often the target was predicted."""
+    hit = (F.col("target") == F.col("predicted")).cast("int")
+    return trials.groupBy("distance").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(hit, F.lit(0))).alias("recall"))
+
+
+def token_counts(documents: DataFrame, size: str, source: str = "source", split: str = "split") -> DataFrame:
+    """(source, train, validation): tokens of each source's splits."""
+    of = lambda name: F.coalesce(F.sum(F.when(F.col(split) == name, F.col(size))), F.lit(0)).cast("long").alias(name)
+    return documents.groupBy(source).agg(of("train"), of("validation"))
+
+
+def staging_summary(staged: DataFrame) -> DataFrame:
+    """(sources, rows, bytes, est_tokens, pretrain_tokens) of staged sources; those of weight 0 don't count as pretraining."""
+    return staged.agg(F.count(F.lit(1)).alias("sources"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("est_tokens").alias("est_tokens"), F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("est_tokens"))), F.lit(0)).alias("pretrain_tokens"))
+
+
+def banded_bits(windows: DataFrame, documents: DataFrame, widths: tuple[int, ...] = (512, 2048, 4096, 8192)) -> DataFrame:
+    """(width, documents, scored, bpb): bits per byte of documents (key, size, bytes) that have so many tokens.
+
+    windows: (key, width, scored, nll), what scoring the windows that band_windows() gives has summed up.
+    """
+    bands = documents.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths]))).filter(F.col("size") >= F.col("width"))
+    scored = windows.groupBy("key", "width").agg(F.sum("nll").alias("nll"), F.sum("scored").alias("scored"))
+    rows = bands.join(scored, ["key", "width"])
+    return rows.groupBy("width").agg(F.count(F.lit(1)).alias("documents"), F.sum("scored").alias("scored"), (F.sum("nll") / F.sum("bytes") / F.lit(LN2)).alias("bpb"))

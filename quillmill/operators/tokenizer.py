@@ -24,10 +24,25 @@ def char_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_counts(df: DataFrame, ids: str) -> DataFrame:
-    """(a, b, n): neighbouring pairs, overlapping ones counted each."""
-    c = F.col(ids)
-    pairs = F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b, n): neighbouring pairs, overlapping ones counted each. Pairs are counted within batches first, so a row for each
+    different pair of a batch is what is shuffled. Tokens are ints; null documents have none."""
+
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(0)
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if len(flat) < 2:
+                continue
+            first = np.ones(len(flat) - 1, bool)  # where the next token is of the same document
+            ends = np.cumsum(n)
+            first[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+            pairs, k = np.unique((flat[:-1][first] << 32) | flat[1:][first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(k.astype(np.int64))], ["a", "b", "k"])
+
+    return df.select(ids).mapInArrow(counted, "a int, b int, k long").groupBy("a", "b").agg(F.sum("k").alias("n"))
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -117,6 +132,34 @@ class BytePairs:
                     heapq.heappush(heap, (-seen[p], p))
         return cls(merges, specials)
 
+    @classmethod
+    def train_stream(cls, texts, size: int, specials: list[str] = (), least: int = 2) -> BytePairs:
+        """As train(), over one stream of all texts, in which pairs cross words and documents; ties by first occurrence.
+
+        The stream is held on the driver, so it is for samples of some millions of bytes.
+        """
+        import numpy as np
+
+        if size < 256 + len(specials):
+            raise ValueError("vocabulary size must be at least 256 and the specials")
+        base, merges = len(specials), []
+        ids = np.frombuffer("".join(texts).encode("utf-8", "replace"), np.uint8).astype(np.int64) + base
+        while base + 256 + len(merges) < size and len(ids) > 1:
+            pairs, first, n = np.unique((ids[:-1] << 32) | ids[1:], return_index=True, return_counts=True)
+            if n.max() < least:
+                break
+            best = pairs[n == n.max()][first[n == n.max()].argmin()]
+            a, b = int(best >> 32), int(best & 0xFFFFFFFF)
+            at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+            if a == b:  # of a run of places one after the other every second one counts
+                start = np.concatenate([[True], np.diff(at) > 1])
+                run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            ids[at] = base + 256 + len(merges)
+            ids = np.delete(ids, at + 1)
+            merges.append((a, b))
+        return cls(merges, specials)
+
     @property
     def vocab_size(self) -> int:
         return self.base + 256 + len(self.merges)
@@ -170,6 +213,45 @@ class BytePairs:
         return self.specials.index(token)
 
 
+class Pretrained:
+    """A public tokenizer file (tokenizer.json) with the same methods as BytePairs."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.path, self._model = path, Tokenizer.from_file(path)
+
+    @property
+    def vocab_size(self) -> int:
+        return self._model.get_vocab_size()
+
+    def encode(self, text: str) -> list[int]:
+        return self._model.encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        return self._model.decode(list(ids), skip_special_tokens=skip_special)
+
+    def special_id(self, token: str) -> int:
+        if (found := self._model.token_to_id(token)) is None:
+            raise ValueError(f"missing special token: {token}")
+        return found
+
+    @property
+    def fingerprint(self) -> str:
+        return hashlib.blake2b(self._model.to_str().encode(), digest_size=6).hexdigest()
+
+    def __reduce__(self):  # executors read the file's content, not its path
+        return _pretrained, (self.path, self._model.to_str())
+
+
+def _pretrained(path: str, content: str) -> Pretrained:
+    from tokenizers import Tokenizer
+
+    made = Pretrained.__new__(Pretrained)
+    made.path, made._model = path, Tokenizer.from_str(content)
+    return made
+
+
 def encode_column(spark, tokenizer: BytePairs):
     """A function from a text column to its tokens, in Arrow batches, with the tokenizer broadcast."""
     shared = spark.sparkContext.broadcast(tokenizer)

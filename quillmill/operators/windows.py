@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import hashed, prefix_sum
+from ..functions.ordered import hashed, in_ranges, prefix_sum
 
 
 def spans(df: DataFrame, size: str, ordinal: str) -> DataFrame:
@@ -145,3 +147,50 @@ def spans_from_marks(df: DataFrame, key: str, ids: str, eos: int) -> DataFrame:
     rows = df.select(key, F.posexplode(marks).alias("doc", "finish"))
     start = F.coalesce(F.lag("finish").over(Window.partitionBy(key).orderBy("doc")) + 1, F.lit(0))
     return rows.select(key, "doc", start.alias("start"), "finish")
+
+
+def band_windows(df: DataFrame, size: str, widths: tuple[int, ...] = (512, 2048, 4096, 8192)) -> DataFrame:
+    """rolling() windows of each width, half a width apart, over the documents that have so many tokens."""
+    out = None
+    for w in widths:
+        rows = rolling(df.filter(F.col(size) >= w), size, w, w // 2).withColumn("width", F.lit(w))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def budget_batches(df: DataFrame, key: str, ids: str, budget: int, pad: int) -> DataFrame:
+    """df with batch_id and padded, the tokens filled up to the batch's longest: rows of a batch by their width are budget at most.
+
+    Longest rows come first, ties by key; a batch is as wide as its first row, so how many rows it takes follows from that row's
+    length alone. The plan is made over the different lengths, of which there are few, and rows get their batch by their rank.
+    """
+    rows = df.withColumn("_n", F.size(ids))
+    lengths = rows.groupBy("_n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("_n")).collect()
+    segments, at, batch, ahead = [], 0, 0, 0  # (first rank, rows a batch, first batch, width); ahead: rows that the last batch took of later lengths
+    for r in lengths:
+        left = r.k - ahead
+        if left <= 0:
+            at, ahead = at + r.k, ahead - r.k
+            continue
+        at, ahead = at + ahead, 0
+        per = max(1, budget // r["_n"]) if r["_n"] else left
+        n = -(-left // per)
+        segments.append((at, per, batch, r["_n"]))
+        at, batch, ahead = at + left, batch + n, n * per - left
+    if not segments:
+        return df.withColumn("batch_id", F.lit(0).cast("long")).withColumn("padded", F.col(ids))
+    plan = F.from_json(F.lit(json.dumps([dict(zip(("at", "per", "batch", "width"), x, strict=True)) for x in segments])), "array<struct<at:bigint,per:bigint,batch:bigint,width:int>>")
+    counts = F.broadcast(rows.sparkSession.createDataFrame([(r["_n"], sum(x.k for x in lengths if x["_n"] > r["_n"])) for r in lengths], "_len int, _longer long"))
+    place = F.row_number().over(Window.partitionBy("_n", "_slice").orderBy(key))
+    # rows of one length are numbered in ranges of their keys, so that a common length isn't one task
+    rows = in_ranges(rows, key, "_slice")
+    slices = rows.groupBy("_n", "_slice").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_n").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select(F.col("_n").alias("_sn"), F.col("_slice").alias("_ss"), before.alias("_before"))
+    rows = rows.withColumn("_place", place).join(slices, (F.col("_n") == F.col("_sn")) & (F.col("_slice") == F.col("_ss"))).join(counts, F.col("_n") == F.col("_len"))
+    rank_ = F.col("_longer") + F.col("_before") + F.col("_place") - 1
+    seg = lambda r: F.element_at(F.filter(plan, lambda s: s["at"] <= r), -1)
+    rows = rows.withColumn("_rank", rank_).withColumn("_seg", seg(F.col("_rank")))
+    batch_id = F.col("_seg.batch") + F.expr("(_rank - _seg.at) div _seg.per")
+    full = F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.col("_seg.width") - F.col("_n"))))
+    return rows.withColumn("batch_id", batch_id).withColumn("padded", full).drop("_n", "_slice", "_sn", "_ss", "_before", "_place", "_len", "_longer", "_rank", "_seg")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chat import IGNORE, SPECIAL_TOKENS
 from ..functions.ordered import prefix_sum
 from ..operators import artifacts, selection, stats
-from ..operators.tokenizer import BytePairs, encode_column, word_counts
+from ..operators.tokenizer import BytePairs, Pretrained, encode_column, word_counts
 from ..sources.registry import OBJECTIVES, Catalog
 
 #: What a tokenizer must give back as it was.
@@ -21,24 +21,23 @@ def token_documents(examples: DataFrame, tokenizer: BytePairs, bos: int | None =
     """(ordinal, ids, and labels if asked for) of (ordinal, segments): each segment is encoded on its own, between the marks."""
     shared = examples.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def run(segments):
+    def run(batches):
         import pyarrow as pa
 
-        t, out = shared.value, []
-        for row in segments.to_pylist():
-            ids, labels = ([], []) if bos is None else ([bos], [IGNORE])
-            for s in row or []:
-                piece = t.encode(s["text"] or "")
-                ids += piece
-                labels += piece if s["supervised"] else [IGNORE] * len(piece)
-            if eos is not None:
-                ids.append(eos)
-                labels.append(IGNORE)
-            out.append({"ids": ids, "labels": labels if labelled else None})
-        return pa.array(out, pa.struct([("ids", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32()))]))
+        ids_of = shared.value.encode
+        for batch in batches:
+            ids, labels = [], []
+            for row in batch.column(1).to_pylist():
+                pieces = [(ids_of(s["text"] or ""), s["supervised"]) for s in row or []]
+                marks = [[m] if m is not None else [] for m in (bos, eos)]
+                ids.append(marks[0] + [i for piece, _ in pieces for i in piece] + marks[1])
+                labels.append([IGNORE] * len(marks[0]) + [i if own else IGNORE for piece, own in pieces for i in piece] + [IGNORE] * len(marks[1]))
+            kind = pa.list_(pa.int32())
+            columns = [batch.column(0).cast(pa.int64()), pa.array(ids, kind)] + ([pa.array(labels, kind)] if labelled else [])
+            yield pa.RecordBatch.from_arrays(columns, ["ordinal", "ids", "labels"][: len(columns)])
 
-    made = examples.select("ordinal", F.arrow_udf(run, "struct<ids array<int>, labels array<int>>")("segments").alias("t"))
-    return made.select("ordinal", "t.ids", *(["t.labels"] if labelled else []))
+    # a step of its own rather than a function of a column, whose argument could be as large an expression as an adapter makes
+    return examples.select("ordinal", "segments").mapInArrow(run, "ordinal long, ids array<int>" + (", labels array<int>" if labelled else ""))
 
 
 def cap(docs: DataFrame, tokens: int | None, bos: int | None = None, eos: int | None = None) -> DataFrame:
@@ -122,11 +121,36 @@ def held_out_text(df: DataFrame, ordinal: str, taken: int, chars: int) -> DataFr
     return rows.filter(room > 0).select(ordinal, F.substring(F.col("text"), F.lit(1), room.cast("int")).alias("text"))
 
 
-def resolve(spark: SparkSession, rows: DataFrame | None, size: int, pinned: str | None = None, specials: list[str] = SPECIAL_TOKENS) -> BytePairs:
-    """The tokenizer of a pinned file, which must be there, or one trained on (text)."""
+#: Different words that a tokenizer is trained on at most; a corpus with more is to be capped by corpus().
+MOST_WORDS = 20_000_000
+
+
+def counted_words(rows: DataFrame) -> list[tuple[str, int]]:
+    """The words of a capped corpus with their counts, in order; an error where they are too many for one place."""
+    counts = word_counts(rows).limit(MOST_WORDS + 1).collect()
+    if len(counts) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} different words: cap the corpus")
+    return sorted((r.word, r.n) for r in counts)
+
+
+def tokenizer_path(root: str, sources: dict, mode: str, size: int, chars: int) -> str:
+    """Where a trained tokenizer belongs: sources (with their revisions), mode, size and sample decide it."""
+    return f"{root}/tokenizer-{artifacts.content_hash({'sources': sources, 'mode': mode, 'size': size, 'chars': chars})}.json"
+
+
+def resolve(spark: SparkSession, rows: DataFrame | None, size: int, pinned: str | None = None, specials: list[str] = SPECIAL_TOKENS, pretrained: str | None = None, path: str | None = None) -> BytePairs | Pretrained:
+    """The tokenizer of a pinned file, which must be there, a pretrained one of a public file, or one trained on (text); with a
+    path, which tokenizer_path() gives, that is written there, and what is there already is taken."""
+    if pretrained is not None:
+        return Pretrained(pretrained)
     if pinned is not None:
         return BytePairs.from_json(artifacts.read_text(spark, pinned))
-    return BytePairs.train(sorted((r.word, r.n) for r in word_counts(rows).collect()), size, specials)  # as many rows as the sample has words
+    if path is not None and artifacts.exists(spark, path):
+        return BytePairs.from_json(artifacts.read_text(spark, path))
+    made = BytePairs.train(counted_words(rows), size, specials)
+    if path is not None:
+        artifacts._write_text(spark, path, made.to_json())
+    return made
 
 
 def report(held_out: DataFrame, tokenizer: BytePairs) -> dict:
@@ -147,7 +171,7 @@ def suite(spark: SparkSession, train: DataFrame, held_out: DataFrame, sizes: lis
     """Tokenizers of several sizes from one corpus, whose words are counted once, each with its report, under tags such as 8k."""
     if max(sizes) > 65_535:
         raise ValueError("vocabulary sizes must fit 16 bits")
-    counts = sorted((r.word, r.n) for r in word_counts(train).collect())
+    counts = counted_words(train)
     most = BytePairs.train(counts, max(sizes), specials)
     made = {}
     for size in sorted(sizes):  # merges of a smaller size are the first ones of the largest

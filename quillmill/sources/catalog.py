@@ -36,7 +36,7 @@ def local_documents(spark: SparkSession, directory: str, glob: str = "*.md", rep
     """(ordinal struct<rep, path>, text, path): one row a file; in training the whole set comes `repeat` times."""
     if repeat < 1:
         raise ValueError("repeat must be at least 1")
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(directory).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    df = spark.read.option("pathGlobFilter", glob).text(directory, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     if df.isEmpty():
         raise FileNotFoundError(f"no documents in {directory}")
     n = repeat if train else 1
@@ -50,17 +50,24 @@ def text_chunks(df: DataFrame, text: str = "text", size: int = 1_000_000) -> Dat
 
 
 def decode_blobs(df: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Rows with blob_id and src_encoding joined to (blob_id, content): gunzipped and decoded; what fails is dropped."""
+    """Rows with blob_id and src_encoding joined to (blob_id, content): gunzipped and decoded, undecodable bytes as U+FFFD.
+
+    Rows without a blob, with one that isn't whole gzip, or with an unknown encoding have no text and are dropped; any other
+    failure stops the query.
+    """
     import gzip
+    import zlib
 
     @F.pandas_udf("string")
     def decode(content, encoding):
         import pandas as pd
 
         def one(c, e):
+            if c is None:
+                return ""
             try:
                 return gzip.decompress(c).decode(e or "utf-8", "replace")
-            except Exception:
+            except (gzip.BadGzipFile, EOFError, zlib.error, LookupError):
                 return ""
 
         return pd.Series([one(c, e) for c, e in zip(content, encoding, strict=True)])
@@ -68,11 +75,55 @@ def decode_blobs(df: DataFrame, blobs: DataFrame) -> DataFrame:
     return df.join(blobs, "blob_id", "left").withColumn("text", decode("content", "src_encoding")).drop("content").filter("text <> ''")
 
 
-def stage_report(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
-    """(path, bytes, est_tokens, has_text) of each Parquet file, by path."""
-    has = text in spark.read.parquet(path).columns
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("length").alias("bytes"))
-    return files.withColumn("est_tokens", F.floor(F.col("bytes") / 4)).withColumn("has_text", F.lit(has))
+def json_rows(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Rows of files that hold a JSON array each or, where one can't be read as such, JSON lines; of the columns those that are there."""
+    first = spark.read.text(paths, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"), F.col("_metadata.file_path").alias("p"))
+    lines = [r.p for r in first.filter("c <> '['").collect()]  # a row a file
+    arrays = [r.p for r in first.filter("c = '['").collect()]
+    parts = ([spark.read.option("multiLine", "true").json(arrays)] if arrays else []) + ([spark.read.json(lines)] if lines else [])
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p, allowMissingColumns=True)
+    return df.select([c for c in columns if c in df.columns]) if columns else df
+
+
+def listed(files: DataFrame, prefix: str = "", suffix: str = ".parquet", first: int | None = None) -> DataFrame:
+    """(path, bytes) of the files with a prefix and a suffix, by path, or the first so many of these."""
+    rows = files.filter(F.startswith("path", F.lit(prefix)) & F.endswith("path", F.lit(suffix))).orderBy("path")
+    return rows if first is None else rows.limit(first)
+
+
+def file_sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, bytes): names under a folder, without what Spark wrote about its own work."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = F.substring_index("path", "/", -1)
+    return rows.filter(~F.startswith(name, F.lit("_")) & ~F.startswith(name, F.lit("."))).select(name.alias("path"), F.col("length").alias("bytes"))
+
+
+def peek(spark: SparkSession, folder: str, n: int = 5, suffix: str = ".parquet") -> DataFrame:
+    """The first n rows of the smallest file."""
+    least = listed(file_sizes(spark, folder), suffix=suffix).agg(F.min_by("path", F.struct("bytes", "path")).alias("p")).first().p
+    if least is None:
+        raise FileNotFoundError(f"no {suffix} files in {folder}")
+    return spark.read.parquet(f"{folder}/{least}").limit(n)
+
+
+def raw_text(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, text): one continuous document a file, in order of the paths."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ordinal"), F.col("value").alias("text"))
+    return rows.orderBy("ordinal")
+
+
+def stage_report(spark: SparkSession, folder: str, text: str = "text", first: int | None = None) -> DataFrame:
+    """(path, rows, bytes, columns, est_tokens, has_text) of the first files of a folder by path; tokens are a quarter of the bytes."""
+    files = listed(file_sizes(spark, folder), first=first)
+    names = [r.path for r in files.select("path").collect()]  # a row a file
+    if not names:
+        raise FileNotFoundError(f"no files in {folder}")
+    df = spark.read.parquet(*[f"{folder}/{n}" for n in names])
+    rows = df.groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    out = files.join(rows, "path", "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", F.lit(len(df.columns)).alias("columns"))
+    return out.withColumn("est_tokens", F.floor(F.col("bytes") / 4)).withColumn("has_text", F.lit(text in df.columns))
 
 
 def update_lock(previous: list[str], selected: list[str], repository: list[str]) -> list[str]:

@@ -114,8 +114,8 @@ def test_headline_and_listing(spark):
 
 
 def test_local_documents_and_locks(spark, tmp_path):
-    (tmp_path / "note.md").write_text("first")
-    assert catalog.local_documents(spark, str(tmp_path), repeat=3).count() == 3
+    (tmp_path / "note.md").write_text("first\n\nline")
+    assert [r.text for r in catalog.local_documents(spark, str(tmp_path), repeat=3).collect()] == ["first\n\nline"] * 3
     assert catalog.local_documents(spark, str(tmp_path), repeat=3, train=False).count() == 1
     assert catalog.update_lock(["a", "gone"], ["b*"], ["a", "b1", "b2"]) == ["a", "b1", "b2"]
     with pytest.raises(RuntimeError):
