@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chat, text
-from ..operators import adapters, mixture, search, selection, stats, tokenizer, windows
+from ..functions import chat, messages, text
+from ..operators import adapters, artifacts, mixture, search, selection, stats, tokenizer, windows
+from ..sources import catalog, registry
+from . import build
 
 L = 512
 QUERIES, SQL = {}, {}
@@ -35,7 +37,7 @@ def conversations(spark: SparkSession, d: str) -> DataFrame:
 
 def tokens(df: DataFrame) -> DataFrame:
     """Code points and the end mark 0."""
-    return df.withColumn("ids", F.concat(text.code_points(F.col("text")), F.array(F.lit(0))))
+    return df.withColumn("ids", F.concat(text.code_point_ids(F.col("text")), F.array(F.lit(0))))
 
 
 # --- streams and windows -----------------------------------------------------
@@ -285,11 +287,11 @@ def single_turn_chat(spark, d):
     return adapters.single_turn(_pairs(spark, d), "question", "answer").select("ordinal", chat.render(F.col("messages")).alias("text"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
-SELECT conv_id, string_agg('<' || CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END || '>' || chr(10) || t, chr(10) || chr(10) ORDER BY turn) AS text FROM t WHERE trim(t) <> '' GROUP BY conv_id""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN chr(10) || chr(9) || ' ' WHEN turn % 7 = 6 THEN NULL ELSE text END AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id, string_agg('<' || CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END || '>' || chr(10) || t, chr(10) || chr(10) ORDER BY turn) AS text FROM t WHERE trim(t, ' ' || chr(9) || chr(10)) <> '' GROUP BY conv_id""")
 def alternating_dialogue(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    t = F.when(F.col("turn") % 3 == 1, F.lit("  ")).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 3 == 1, F.lit("\n\t ")).when(F.col("turn") % 7 != 6, F.col("text"))
     lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", t.alias("t")))), lambda x: x["t"]).alias("dialogue"))
     return adapters.alternating(lists).select("conv_id", adapters.preview(F.col("messages")).alias("text"))
 
@@ -415,7 +417,7 @@ def length_histogram(spark, d):
 
 @query("SELECT count(DISTINCT c) AS used, round(count(DISTINCT c) / 1000, 4) AS utilization FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''")
 def vocabulary_use(spark, d):
-    return stats.vocabulary_use(docs(spark, d).select(text.code_points(F.col("text")).alias("ids")), "ids", 1000)
+    return stats.vocabulary_use(docs(spark, d).select(text.code_point_ids(F.col("text")).alias("ids")), "ids", 1000)
 
 
 @query("SELECT c AS ch, (row_number() OVER (ORDER BY c) - 1)::INT AS token FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''")
@@ -425,7 +427,7 @@ def char_vocabulary(spark, d):
 
 @query("WITH c AS (SELECT list_transform(string_split(text, ''), lambda x: unicode(x)) AS c FROM documents WHERE length(text) > 1), p AS (SELECT unnest(c[1:len(c) - 1]) AS a, unnest(c[2:]) AS b FROM c) SELECT a::INT AS a, b::INT AS b, count(*) AS n FROM p GROUP BY a, b")
 def pair_counts(spark, d):
-    return tokenizer.pair_counts(docs(spark, d).select(text.code_points(F.col("text")).alias("ids")), "ids")
+    return tokenizer.pair_counts(docs(spark, d).select(text.code_point_ids(F.col("text")).alias("ids")), "ids")
 
 
 @query("SELECT doc_id, ((length(text) - length(replace(text, 'tion', ''))) // 4)::BIGINT AS hits FROM documents")
@@ -438,6 +440,358 @@ def regex_count(spark, d):
     return search.occurrences(docs(spark, d), "th[aeiou]", regex=True, ignore_case=True).select("doc_id", "hits")
 
 
-@query("SELECT doc_id, replace(substr(text, greatest(1, instr(text, 'License') - 20), instr(text, 'License') - greatest(1, instr(text, 'License') - 20) + 27), chr(10), '⏎') AS snippet FROM documents WHERE instr(text, 'License') > 0 ORDER BY doc_id LIMIT 50")
+_HITS = "h AS (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, {n}) = '{needle}')) AS \"at\" FROM documents WHERE contains(text, '{needle}'))"
+
+
+@query(f"""WITH {_HITS.format(needle='License', n=7)}, b AS (SELECT *, greatest(0, "at" - 20) AS s, least(length(text), "at" + 27) AS e FROM h)
+SELECT doc_id, "at", CASE WHEN s > 0 THEN '…' ELSE '' END || replace(substr(text, s + 1, e - s), chr(10), ' ⏎ ') || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM b""")
 def snippets(spark, d):
-    return search.snippets(docs(spark, d), "License", "doc_id", 20, 50)
+    return search.all_snippets(docs(spark, d).select("doc_id", "text"), "License", "doc_id", 20)
+
+
+@query("""SELECT doc_id, p AS "at", CASE WHEN b > 0 THEN '…' ELSE '' END || replace(substr(text, b + 1, e - b), chr(10), ' ⏎ ') || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM
+(SELECT doc_id, text, p, p - length(regexp_extract(substr(text, greatest(0, p - 4000) + 1, least(p, 4000)), '[^\\n]*$')) AS b, p + length(regexp_extract(substr(text, p + 1, 4000), '^[^\\n]*')) AS e FROM
+(SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 3) = 'ion')) AS p FROM documents WHERE contains(text, 'ion'))) ORDER BY doc_id, p LIMIT 200""")
+def line_snippets(spark, d):
+    """The lines about the first 200 places of a needle."""
+    return search.all_snippets(docs(spark, d).select("doc_id", "text"), "ion", "doc_id", most=200, whole=True)
+
+
+@query("SELECT sum((length(text) - length(replace(text, 'tion', ''))) // 4)::BIGINT AS hits, sum(length(text))::BIGINT AS tokens, sum((length(text) - length(replace(text, 'tion', ''))) // 4) * 1000000.0::DOUBLE / sum(length(text)) AS per_million FROM documents")
+def needle_frequency(spark, d):
+    return search.frequency(docs(spark, d).withColumn("n", F.length("text")), "tion", "n")
+
+
+# --- more of selection, adapters and cleaning ----------------------------------
+
+
+@query(f"WITH {_SOURCES} SELECT key, floor(1000000 * weight / sum(weight) OVER ())::BIGINT AS cap_weighted, greatest(1, 1000000 // count(*) OVER ())::BIGINT AS cap_equal, ceil(weight / sum(weight) OVER () * 1000000 * 1.15::DOUBLE)::BIGINT AS cap_headroom FROM s")
+def share_caps(spark, d):
+    return selection.shares(_sources(spark, d), "weight", 1_000_000).select("key", "cap_weighted", "cap_equal", "cap_headroom")
+
+
+@query("SELECT count(*) AS n, true AS near FROM documents")
+def hashed_holdout(spark, d):
+    """Whether a hashed tenth is about a tenth."""
+    held = docs(spark, d).select(selection.hash_split(docs(spark, d), "doc_id", 0.1, 3).alias("h"))
+    return held.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg(F.col("h").cast("int")) - 0.1) < 0.05).alias("near"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de'")
+def native_split(spark, d):
+    return selection.native_split(docs(spark, d).select("doc_id", "lang"), "validation", {"train": "en", "validation": "de"}, "lang")
+
+
+@query(f"WITH {_SOURCES} SELECT key, n FROM s WHERE category <> 'c1'")
+def eligible_sources(spark, d):
+    return selection.eligible(_sources(spark, d).withColumn("exclude_from_tokenizer", F.when(F.col("category") == "c1", True))).select("key", "n")
+
+
+@query(f"""WITH c AS ({_CUM}), t AS (SELECT sum(n)::BIGINT AS t FROM c), k AS (SELECT floor(t * (0.9::DOUBLE / (0.9::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE)))::BIGINT AS a, floor(t * ((0.9::DOUBLE + 0.05::DOUBLE) / (0.9::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE)))::BIGINT AS b, t FROM t)
+SELECT doc_id, greatest(0, least(e, a) - (e - n))::BIGINT AS train, greatest(0, least(e, b) - greatest(e - n, a))::BIGINT AS validation, greatest(0, e - greatest(e - n, b))::BIGINT AS test FROM c, k""")
+def three_way_split(spark, d):
+    return selection.proportional_split(_sized(spark, d), "n", "doc_id").select("doc_id", "train", "validation", "test")
+
+
+@query("SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest, count(*)::INT AS documents, strlen(string_agg(text, chr(10) || chr(10) ORDER BY doc_id))::INT AS bytes FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 500)")
+def held_out_text(spark, d):
+    return selection.first_texts(docs(spark, d), "doc_id").select(F.md5(F.col("text").cast("binary")).alias("digest"), "documents", "bytes")
+
+
+@query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, length(text)::BIGINT AS n FROM documents WHERE text <> ''),
+s AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS shard, 0::BIGINT AS used
+      UNION ALL SELECT r.k, r.doc_id, s.shard + (s.used >= 20000 OR s.used > 0 AND s.used + r.n > 20000)::BIGINT, CASE WHEN s.used >= 20000 OR s.used > 0 AND s.used + r.n > 20000 THEN r.n ELSE s.used + r.n END FROM s JOIN r ON r.k = s.k + 1)
+SELECT doc_id, shard AS shard_id FROM s WHERE k > 0""")
+def shard_plan(spark, d):
+    return artifacts.assign_shards(_sized(spark, d), "n", "doc_id", 20_000).select("doc_id", "shard_id")
+
+
+@query(f"WITH {_STREAM} SELECT list(c ORDER BY p) AS ids FROM s WHERE p >= 1000 AND p < 9000")
+def token_slice(spark, d):
+    return windows.token_slice(tokens(docs(spark, d)), "ids", "doc_id", 1000, 9000)
+
+
+@query("""SELECT doc_id, 'Problem:' || chr(10) || coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), lang, '') || chr(10) || chr(10) || 'Solution:' || chr(10) || coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END, ''), source, '') AS text FROM documents""")
+def math_text(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("problem"), F.col("lang").alias("question"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")).alias("generated_solution"), F.col("source").alias("solution"))
+    return adapters.math_text(rows).select("doc_id", "text")
+
+
+@query("""SELECT doc_id, md5(CASE WHEN doc_id % 2 = 1 THEN source WHEN length(lang) >= length(text) THEN lang ELSE text END) AS digest FROM documents""")
+def any_text(spark, d):
+    """The column content where it has something, else the longest of the text columns."""
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 1, F.col("source")).alias("content"), F.col("lang").alias("a"), F.col("text").alias("b"))
+    return adapters.any_text(rows, "made").select("doc_id", F.md5(F.col("made").cast("binary")).alias("digest"))
+
+
+@query("WITH c AS (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS chunk FROM documents WHERE length(text) > 0) SELECT doc_id, chunk::INT AS chunk, md5(substr(text, chunk * 1000 + 1, 1000)) AS digest FROM c")
+def text_chunks(spark, d):
+    return catalog.text_chunks(docs(spark, d), size=1000).select("doc_id", F.col("chunk").cast("int").alias("chunk"), F.md5(F.col("piece").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(lang || 'é' || text || '😀' || chr(65533)) AS digest FROM documents")
+def decoded_escapes(spark, d):
+    noisy = F.concat("lang", F.lit("\\u00e9"), "text", F.lit("\\ud83d\\uDE00\\ud800"))
+    return docs(spark, d).select("doc_id", F.md5(text.decode_escapes(noisy).cast("binary")).alias("digest"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS c FROM conversations WHERE length(text) > 1)
+SELECT conv_id, turn, list_transform(range(2, len(c) + 1), lambda i: (CASE WHEN c[i - 1] = 32 THEN -100 ELSE c[i] END)::INT) AS labels FROM t""")
+def boundary_labels(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").filter(F.length("text") > 1).select("conv_id", "turn", text.code_points(F.col("text")).alias("c"))
+    n = F.size("c") - 1
+    return rows.select("conv_id", "turn", chat.boundary_labels(F.slice("c", F.lit(1), n), F.slice("c", F.lit(2), n), 32).alias("labels"))
+
+
+@query(f"""WITH {_PAIRS}, l AS (SELECT conv_id, turn, question, CASE WHEN turn % 4 = 0 THEN chr(9) || 'NONE' || chr(10) ELSE answer END AS answer FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM l)
+SELECT conv_id, string_agg({_TURN.format(r="'user'", c="CASE WHEN k = 1 THEN 'c' || chr(10) || chr(10) ELSE '' END || question")} || {_TURN.format(r="'assistant'", c="CASE WHEN trim(answer, chr(9) || chr(10) || ' ') = 'NONE' THEN 'I don''t know based on the passage.' ELSE answer END")}, '' ORDER BY turn) AS text FROM k GROUP BY conv_id""")
+def unanswerable_qa(spark, d):
+    got = _pairs(spark, d).withColumn("answer", F.when(F.col("turn") % 4 == 0, F.lit("\tNONE\n")).otherwise(F.col("answer"))).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("p"))
+    rows = got.select("conv_id", F.lit("c").alias("context"), F.transform("p", lambda x: x["question"]).alias("questions"), F.transform("p", lambda x: x["answer"]).alias("answers"))
+    return adapters.conversational_qa(rows, "context", "questions", "answers", "NONE").select("conv_id", chat.render(F.col("messages")).alias("text"))
+
+
+def _source_messages(spark, d) -> DataFrame:
+    """Conversations as JSON texts with other names of roles, thinking, calls of tools and values that aren't texts."""
+    t, own = F.col("turn"), F.col("role") == "assistant"
+    quoted = F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)")
+    name = F.when(own, "gpt").when(F.col("role") == "user", "human").otherwise("system")
+    content = F.when(t % 5 == 2, F.lit('{"ok":true,"n":[1,2]}')).otherwise(quoted)
+    call = F.concat(F.lit(',"tool_calls":[{"function":{"name":"find","arguments":{"q":"x","n":'), t.cast("string"), F.lit('}}},{"name":""}]'))
+    said = F.concat(F.lit('{"from":"'), name, F.lit('","value":'), content, F.when(own & (t % 4 == 1), call).otherwise(""), F.when(own & (t % 4 == 3), ',"reasoning":" so "').otherwise(""), F.lit("}"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", said.alias("m"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"])
+    return rows.groupBy("conv_id").agg(F.concat(F.lit("[\"no message\","), F.array_join(listed, ","), F.lit("]")).alias("messages"))
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 2 THEN '{{"ok": true, "n": [1, 2]}}' ELSE text END AS c FROM conversations)
+SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN '<think>' || chr(10) || 'so' || chr(10) || '</think>' || chr(10) ELSE '' END || c
+  || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN CASE WHEN c <> '' THEN chr(10) ELSE '' END || '<tool_call>' || chr(10) || '{{"name": "find", "arguments": {{"q": "x", "n": ' || turn || '}}}}' || chr(10) || '</tool_call>' ELSE '' END
+  || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM m GROUP BY conv_id""")
+def source_messages(spark, d):
+    return messages.normalize(_source_messages(spark, d)).select("conv_id", chat.render(F.col("messages"), full=True).alias("text"))
+
+
+@query("""SELECT conv_id, string_agg('<' || CASE role WHEN 'assistant' THEN 'gpt' WHEN 'user' THEN 'human' ELSE role END || '>' || chr(10) || CASE WHEN turn % 5 = 2 THEN '{"ok": true, "n": [1, 2]}' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS text
+FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, '?', 'no message' FROM conversations) GROUP BY conv_id""")
+def message_previews(spark, d):
+    return messages.coerce(_source_messages(spark, d)).select("conv_id", adapters.preview(F.col("messages")).alias("text"))
+
+
+@query(f"""SELECT conv_id, '<|im_start|>system' || chr(10) || 'Be brief.' || chr(10) || chr(10) || '# Tools' || chr(10) || '<tools>' || chr(10) || '[]' || chr(10) || '</tools><|im_end|>' || chr(10) || coalesce(string_agg({_CHAT}, '' ORDER BY turn) FILTER (role <> 'system'), '') || '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id""")
+def prompted_chat(spark, d):
+    system = chat.system_text(F.lit(" Be brief. "), F.lit("[]"))
+    return conversations(spark, d).select("conv_id", chat.render(F.col("messages"), system=system, generation_prompt=True).alias("text"))
+
+
+# --- more of windows, mixtures and statistics ----------------------------------
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS c FROM documents WHERE text <> ''),
+s AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, c::INT AS x, (CASE WHEN c = 101 THEN -100 ELSE c END)::INT AS y FROM t), n AS (SELECT greatest(0, (count(*) - 1) // 4096) AS n FROM s),
+a AS (SELECT p // 4096 AS w, md5(string_agg(x::VARCHAR, ',' ORDER BY p)) AS x FROM s GROUP BY 1), b AS (SELECT (p - 1) // 4096 AS w, md5(string_agg(y::VARCHAR, ',' ORDER BY p)) AS y FROM s WHERE p > 0 GROUP BY 1)
+SELECT a.w::BIGINT AS window_id, x, y FROM a JOIN b USING (w), n WHERE a.w < n""")
+def labelled_windows(spark, d):
+    rows = docs(spark, d).select("doc_id", text.code_point_ids(F.col("text")).alias("ids"))
+    rows = rows.withColumn("labels", F.transform("ids", lambda c: F.when(c == 101, -100).otherwise(c)))
+    digest = lambda c: F.md5(F.array_join(c, ",").cast("binary")).alias(c)
+    return windows.packed(rows, "ids", "doc_id", 4096, "labels").select("window_id", digest("x"), digest("y"))
+
+
+@query(f"""WITH {_PAIRS}, t AS (SELECT ordinal, list_transform(string_split(question, ''), lambda x: unicode(x)::INT) AS c, list_transform(string_split(answer, ''), lambda x: unicode(x)::INT) AS a FROM q WHERE answer <> '' AND question <> ''),
+k AS (SELECT *, unnest(range(0, (len(a) + 31) // 32)) AS k FROM t), s AS (SELECT *, a[k * 32 + 1:k * 32 + 32] AS target, c || a[1:least(len(a), k * 32 + 32)] AS seen FROM k)
+SELECT ordinal, k::INT AS k, target, seen[greatest(1, len(seen) - 32):len(seen) - 1] AS inp FROM s""")
+def continuations(spark, d):
+    rows = _pairs(spark, d).filter("answer <> '' and question <> ''").select("ordinal", text.code_points(F.col("question")).alias("c"), text.code_points(F.col("answer")).alias("a"))
+    return windows.continuation(rows, "c", "a", 32).select("ordinal", "k", "target", "inp")
+
+
+@query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY length(text) DESC, doc_id) AS k, doc_id, length(text)::BIGINT AS n FROM documents),
+s AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, -1::BIGINT AS batch, 0::BIGINT AS width, 0::BIGINT AS rows, 0::BIGINT AS n
+      UNION ALL SELECT r.k, r.doc_id, CASE WHEN s.rows = 0 OR s.width * (s.rows + 1) > 40000 THEN s.batch + 1 ELSE s.batch END, CASE WHEN s.rows = 0 OR s.width * (s.rows + 1) > 40000 THEN r.n ELSE s.width END,
+             CASE WHEN s.rows = 0 OR s.width * (s.rows + 1) > 40000 THEN 1 ELSE s.rows + 1 END, r.n FROM s JOIN r ON r.k = s.k + 1)
+SELECT doc_id, batch AS batch_id, width::INT AS padded_size, (width - n)::INT AS padding FROM s WHERE k > 0""")
+def budget_batches(spark, d):
+    rows = docs(spark, d).select("doc_id", text.code_point_ids(F.col("text")).alias("ids"))
+    made = windows.budget_batches(rows, "doc_id", "ids", 40_000, -1)
+    return made.select("doc_id", "batch_id", F.size("padded").alias("padded_size"), F.size(F.filter("padded", lambda x: x == -1)).alias("padding"))
+
+
+@query("""WITH r AS (SELECT doc_id, length(text) AS n, strlen(text) AS b FROM documents), w AS (SELECT unnest([512, 2048, 4096, 8192]) AS width), x AS (SELECT * FROM r, w WHERE n >= width),
+k AS (SELECT *, unnest(range(0, greatest(0, ceil((n - width) / (width // 2)))::BIGINT + 1)) AS k FROM x),
+s AS (SELECT *, least(k * (width // 2) + width, n) - greatest(k * (width // 2), CASE WHEN k > 0 THEN least((k - 1) * (width // 2) + width, n) ELSE 0 END) - (k = 0)::INT AS scored FROM k),
+t AS (SELECT width, doc_id, any_value(b) AS b, sum(scored) AS scored, sum(scored * 0.5::DOUBLE * (1 + doc_id % 3)) AS nll FROM s GROUP BY width, doc_id)
+SELECT width::INT AS width, count(*) AS documents, sum(scored)::BIGINT AS scored, round(sum(nll) / sum(b) / ln(2), 9) AS bpb FROM t GROUP BY width""")
+def banded_bits(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("key"), F.length("text").cast("long").alias("size"), F.octet_length("text").alias("bytes"))
+    scored = windows.band_windows(rows, "size").withColumn("nll", F.col("scored") * 0.5 * (1 + F.col("key") % 3))
+    return stats.banded_bits(scored.select("key", "width", "scored", "nll"), rows).select("width", "documents", F.col("scored").cast("long").alias("scored"), F.round("bpb", 9).alias("bpb"))
+
+
+@query(f"""WITH w AS (SELECT lang, doc_id, unnest(range(0, length(text) // {L})) AS k FROM documents WHERE lang IN ('de', 'fr') AND length(text) >= {L}),
+o AS (SELECT CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS part_index, lang AS part, doc_id * 1000 + k AS window_id FROM w) SELECT part, part_index::INT AS part_index, window_id, row_number() OVER (ORDER BY part_index, window_id) - 1 AS item FROM o""")
+def concat_windows(spark, d):
+    """Windows of two languages as one numbered set."""
+    def of(lang):
+        rows = docs(spark, d).filter((F.col("lang") == lang) & (F.length("text") >= L))
+        rows = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr(f"length(text) div {L} - 1"))).alias("k"))
+        return rows.select((F.col("doc_id") * 1000 + F.col("k")).cast("long").alias("window_id"))
+
+    return mixture.concat([("fr", of("fr")), ("de", of("de"))], "window_id")
+
+
+@query("WITH n AS (SELECT count(*) FILTER (length(text) < 2048) AS s, count(*) FILTER (length(text) >= 2048) AS l FROM documents) SELECT 'short' AS pool, s AS n, 0.35::DOUBLE / (0.35::DOUBLE + 0.65::DOUBLE) / greatest(1, s) AS item_weight FROM n UNION ALL SELECT 'long', l, 0.65::DOUBLE / (0.35::DOUBLE + 0.65::DOUBLE) / greatest(1, l) FROM n")
+def pool_weights(spark, d):
+    rows = _sized(spark, d)
+    return mixture.pool_weights(rows.filter("n < 2048"), rows.filter("n >= 2048"), *mixture.STAGE_SHARES[2048])
+
+
+@query(f"WITH {_SOURCES}, r AS (SELECT key, CASE WHEN row_number() OVER (ORDER BY key) <= 4 THEN 25 ELSE 0 END AS ratio FROM s) SELECT key, ratio::INT AS ratio, floor(ratio * 12345 / 100)::BIGINT AS cap FROM r WHERE ratio > 0")
+def ratio_caps(spark, d):
+    k = F.row_number().over(Window.orderBy("key"))  # a row a source
+    rows = _sources(spark, d).select("key", F.when(k <= 4, 25).otherwise(0).alias("ratio"))
+    return mixture.ratio_caps(rows, 12_345)
+
+
+@query(f"WITH {_SOURCES} SELECT key, s.weight / sum(s.weight) OVER () AS share FROM s WHERE n % 2 = 0 OR category <> 'c0'")
+def available_sources(spark, d):
+    every = _sources(spark, d)
+    caches = every.filter("n % 2 = 0 or category <> 'c0'").select("key", "avail")
+    return mixture.available(every.select("key", "weight", F.lit(None).cast("double").alias("sft_weight")), caches).select("key", "share")
+
+
+@query("WITH s AS (SELECT source AS key, row_number() OVER (ORDER BY source) AS o, sum(length(text))::BIGINT AS t, sum(strlen(text))::BIGINT AS b FROM documents GROUP BY source) SELECT key, (sum(t) OVER (ORDER BY o) - t)::BIGINT AS start, (sum(t) OVER (ORDER BY o))::BIGINT AS finish, round(b / t, 9) AS bytes_per_token FROM s UNION ALL SELECT 'TOTAL', 0, sum(t)::BIGINT, round(sum(b) / sum(t), 9) FROM s")
+def source_totals(spark, d):
+    rows = docs(spark, d).groupBy(F.col("source").alias("key")).agg(F.sum(F.length("text")).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"))
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.orderBy("key")))
+    return stats.source_totals(rows).withColumn("bytes_per_token", F.round("bytes_per_token", 9))
+
+
+@query("SELECT (doc_id % 5)::BIGINT AS distance, count(*) AS n, avg(coalesce((length(text) % 4 = doc_id % 4)::INT, 0)) AS recall FROM documents GROUP BY 1")
+def recall_by_distance(spark, d):
+    return stats.recall(docs(spark, d).select((F.col("doc_id") % 5).alias("distance"), (F.length("text") % 4).cast("long").alias("target"), (F.col("doc_id") % 4).alias("predicted")))
+
+
+@query("SELECT source, sum(CASE WHEN doc_id % 10 <> 0 THEN length(text) ELSE 0 END)::BIGINT AS train, sum(CASE WHEN doc_id % 10 = 0 THEN length(text) ELSE 0 END)::BIGINT AS validation FROM documents GROUP BY source")
+def source_tokens(spark, d):
+    return stats.token_counts(_sized(spark, d).withColumn("split", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train")), "n")
+
+
+@query(f"WITH {_SOURCES} SELECT count(*) AS sources, sum(n)::BIGINT AS rows, sum(avail)::BIGINT AS bytes, sum(avail // 4)::BIGINT AS est_tokens, coalesce(sum(CASE WHEN category <> 'c0' THEN avail // 4 END), 0)::BIGINT AS pretrain_tokens FROM s")
+def staging_summary(spark, d):
+    rows = _sources(spark, d).select(F.col("n").alias("rows"), F.col("avail").alias("bytes"), F.expr("avail div 4").alias("est_tokens"), F.when(F.col("category") == "c0", 0.0).otherwise(F.col("weight")).alias("weight"))
+    return stats.staging_summary(rows)
+
+
+@query("SELECT source, round(sum((doc_id % 3 + 1) * 0.5::DOUBLE) / sum(length(text)) / ln(2), 12) AS bpb FROM documents GROUP BY source")
+def source_bits(spark, d):
+    rows = _sized(spark, d).withColumn("nll", (F.col("doc_id") % 3 + 1) * 0.5)
+    return stats.nll_summary(rows, "nll", "n", "source").select("source", F.round("bpb", 12).alias("bpb"))
+
+
+@query("SELECT doc_id, round(2.5::DOUBLE / (ln(2) * strlen(text) / length(text)), 9) AS bpb, 2.5::DOUBLE AS loss FROM documents WHERE text <> ''")
+def nats_and_bits(spark, d):
+    ratio = F.octet_length("text") / F.length("text")
+    rows = docs(spark, d).filter("text <> ''").select("doc_id", stats.bits_per_byte(F.lit(2.5), ratio).alias("bpb"), ratio.alias("r"))
+    return rows.select("doc_id", F.round("bpb", 9).alias("bpb"), F.round(stats.loss_of(F.col("bpb"), F.col("r")), 9).alias("loss"))
+
+
+@query("SELECT lang AS key, sum(length(text))::BIGINT AS tokens, round(sum(strlen(text)) / sum(length(text)), 6) AS bytes_per_token FROM documents WHERE doc_id % 2 = 0 GROUP BY lang")
+def supervised_bytes(spark, d):
+    return stats.masked_bytes(docs(spark, d).withColumn("n", F.length("text").cast("long")), "text", "n", F.col("doc_id") % 2 == 0, "lang")
+
+
+@query("SELECT d.conv_id AS request, coalesce(sum((length(text) % 8) * -0.25::DOUBLE) FILTER (role = 'assistant'), 0) AS logprob, coalesce(bool_and(length(text) % 5 <> 0) FILTER (role = 'assistant'), true) AS greedy FROM conversations d GROUP BY 1")
+def request_scores(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = c.filter("role = 'assistant'").select(F.col("conv_id").alias("request"), (F.length("text") % 8 * -0.25).alias("logprob"), (F.length("text") % 5 != 0).alias("greedy"))
+    return stats.request_scores(c.select(F.col("conv_id").alias("request")).distinct(), rows)
+
+
+_RESULTS = "r AS (SELECT source AS task, m AS metric, o::INT AS ordinal, CASE WHEN m = 'alias' THEN NULL ELSE ((count(*) * (o + 3)) % 97) / 128.0::DOUBLE END AS value FROM documents, (SELECT unnest(['alias', 'acc_stderr', 'f1', 'acc', 'acc_norm', 'perplexity']) AS m, unnest(range(6)) AS o) WHERE NOT (m = 'acc_norm' AND ascii(substr(source, 4)) % 2 = 0) AND NOT (m = 'acc' AND ascii(substr(source, 4)) % 3 = 0) GROUP BY source, m, o)"
+
+
+def _results(spark, d) -> DataFrame:
+    m = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(i).alias("ordinal")) for i, x in enumerate(("alias", "acc_stderr", "f1", "acc", "acc_norm", "perplexity"))]))
+    rows = docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", m.alias("m"))
+    code = F.ascii(F.substring("source", 4, 100))
+    rows = rows.filter(~((F.col("m.metric") == "acc_norm") & (code % 2 == 0)) & ~((F.col("m.metric") == "acc") & (code % 3 == 0)))
+    value = F.when(F.col("m.metric") != "alias", (F.col("n") * (F.col("m.ordinal") + 3)) % 97 / 128.0)
+    return rows.select(F.col("source").alias("task"), "m.metric", "m.ordinal", value.alias("value"))
+
+
+_HEAD = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY CASE metric WHEN 'acc_norm' THEN 1 WHEN 'acc' THEN 2 WHEN 'perplexity' THEN 3 ELSE 99 END, ordinal) AS k FROM r WHERE NOT suffix(metric, '_stderr') AND metric <> 'alias' AND value IS NOT NULL) WHERE k = 1)"
+
+
+@query(f"WITH {_RESULTS}, {_HEAD} SELECT task, metric, value FROM h")
+def headline_metrics(spark, d):
+    return stats.headline(_results(spark, d))
+
+
+@query(f"WITH {_RESULTS}, {_HEAD}, c AS (SELECT DISTINCT task, 25.0::DOUBLE AS chance FROM r WHERE ascii(substr(task, 4)) % 4 <> 0), f AS (SELECT DISTINCT task, 40.0::DOUBLE AS reference FROM r WHERE ascii(substr(task, 4)) % 5 <> 0) SELECT task, metric, CASE WHEN metric = 'perplexity' THEN h.value ELSE h.value * 100 END AS value, chance, reference, CASE WHEN reference IS NULL THEN NULL WHEN metric = 'perplexity' THEN h.value <= reference ELSE h.value * 100 >= reference END AS best FROM h LEFT JOIN c USING (task) LEFT JOIN f USING (task)")
+def results_table(spark, d):
+    code = F.ascii(F.substring("task", 4, 100))
+    names = _results(spark, d).select("task").distinct()
+    return stats.results_table(stats.headline(_results(spark, d)), names.filter(code % 4 != 0).withColumn("chance", F.lit(25.0)), names.filter(code % 5 != 0).withColumn("reference", F.lit(40.0)))
+
+
+@query("SELECT sum((doc_id % 8) * 0.125::DOUBLE * length(text)) / sum(length(text)) AS weighted, avg((doc_id % 8) * 0.125::DOUBLE) AS plain FROM documents")
+def weighted_loss(spark, d):
+    return stats.weighted_mean(_sized(spark, d).withColumn("v", F.col("doc_id") % 8 * 0.125), "v", "n")
+
+
+@query("SELECT source, 'repo-' || source || '@' || substr(md5(source), 1, 12) AS pin, coalesce(v, '-') AS views FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS v FROM documents WHERE ascii(substr(source, 4)) % 3 <> 0 GROUP BY source) USING (source)")
+def source_listing(spark, d):
+    rows = docs(spark, d).select("source", "lang").distinct()
+    views = rows.filter(F.ascii(F.substring("source", 4, 100)) % 3 != 0).select("source", F.col("lang").alias("view"))
+    return stats.listing(rows.select("source").distinct().select("source", F.concat(F.lit("repo-"), "source").alias("repo"), F.md5(F.col("source").cast("binary")).alias("revision")), views)
+
+
+# --- catalogs and tokenizers -----------------------------------------------------
+
+
+def _catalog(d) -> registry.Catalog:
+    source = catalog.Source("docs", d, "parquet", "documents.parquet")
+    view = lambda key, **how: registry.View(key, "docs", ordinal="doc_id", split=registry.CarvedSplit(0.05), **how)
+    views = [view("text", options={"columns": ["text"]}), view("tagged", options={"columns": ["lang", "text"]}), view("asked", adapter="pair", options={"question": "lang", "answer": "text"}), view("kept", exclude_from_tokenizer=True)]
+    return registry.Catalog({"docs": source}, {v.key: v for v in views})
+
+
+_TRAIN = "r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM documents), v AS (SELECT * FROM r WHERE k > round_even((SELECT count(*) FROM documents) * 5 / 100, 0))"
+
+
+@query(f"WITH {_TRAIN} SELECT doc_id AS ordinal, md5(lang || chr(10) || chr(10) || text) AS digest FROM v")
+def catalog_documents(spark, d):
+    return _catalog(d).documents(spark, "tagged", "train").select("ordinal", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id AS ordinal, md5('Question: ' || lang || chr(10) || 'Answer: ' || text) AS digest FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM documents) WHERE k <= round_even((SELECT count(*) FROM documents) * 5 / 100, 0)")
+def catalog_validation(spark, d):
+    return _catalog(d).documents(spark, "asked", "validation").select("ordinal", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_TRAIN} SELECT doc_id AS ordinal, text FROM v ORDER BY doc_id LIMIT 7")
+def catalog_sample(spark, d):
+    """The first rendered documents of a view."""
+    return _catalog(d).documents(spark, "text", "train").orderBy("ordinal").limit(7).select("ordinal", "text")
+
+
+@query(f"""WITH {_TRAIN}, e AS (SELECT 'text' AS source_view, doc_id, length(text)::BIGINT AS n FROM v UNION ALL SELECT 'tagged', doc_id, length(lang || text) + 2 FROM v),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source_view ORDER BY doc_id) AS e FROM e) SELECT source_view, 100000::BIGINT AS requested, sum(n)::BIGINT AS chars, count(*) AS documents FROM c WHERE e - n < 100000 GROUP BY source_view""")
+def tokenizer_corpus(spark, d):
+    made = build.corpus_meta(build.corpus(spark, _catalog(d), ["text", "tagged", "kept"], 200_000))
+    return made.withColumn("requested", F.col("requested").cast("long"))
+
+
+@query("SELECT doc_id, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INT + 11) AS ids FROM documents WHERE length(text) <= 400")
+def byte_tokens(spark, d):
+    """Tokens of short texts without merges: their bytes, after the special ones."""
+    encode = tokenizer.encode_column(spark, tokenizer.BytePairs([], chat.SPECIAL_TOKENS))
+    return docs(spark, d).filter(F.length("text") <= 400).select("doc_id", encode("text").alias("ids"))
+
+
+@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents) GROUP BY w")
+def letter_words(spark, d):
+    """How often each run of letters is a word of the tokenizer's, with or without the space before it."""
+    counts = tokenizer.word_counts(docs(spark, d)).filter(F.regexp_like("word", F.lit(r"^ ?\p{L}+$")))
+    return counts.groupBy(F.ltrim("word").alias("word")).agg(F.sum("n").alias("n"))
