@@ -1,8 +1,8 @@
 """Removal of byte strings that an earlier document has, by enhanced suffix arrays over buckets of suffixes.
 
 Suffixes are dealt into buckets by the least hashed k-gram of their first `LEAST` bytes, so suffixes with a common prefix of
-that length meet in one bucket. Neighbouring suffixes with the same least k-gram travel as one string; where all strings with
-a k-gram are equal, their hashes alone travel. A bucket's suffixes are sorted, and one scan with a stack over their common prefixes finds the intervals of the suffix array; those whose
+that length meet in one bucket. Neighbouring suffixes with the same least k-gram travel as one string. A bucket's suffixes
+are sorted, and one scan with a stack over their common prefixes finds the intervals of the suffix array; those whose
 occurrences are preceded by different bytes are the maximal repeats, with all occurrences.
 """
 
@@ -152,8 +152,8 @@ class Batch:
         self.doc = self.ids[text] if len(text) else text
 
     def hashes(self, buckets: int):
-        """By bucket: the different k-gram hashes in order, their numbers of contents (255 at most), the first content, the
-        smallest document, and whether two documents have them."""
+        """By bucket: the different k-gram hashes in order, their numbers of contents (255 at most), 16 bits of the first content, and
+        whether two documents have them."""
         import numpy as np
 
         order = np.lexsort((self.doc, self.content, self.gram))
@@ -164,13 +164,12 @@ class Batch:
             return {}
         other = np.concatenate([[True], (c[1:] != c[:-1])])[: len(g)] | new
         contents = np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8)
-        least = np.minimum.reduceat(d, at)
-        many = least != np.maximum.reduceat(d, at)
-        g, c = g[at], c[at]
+        many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+        g, c = g[at], (c[at] >> np.uint64(48)).astype(np.uint16)
         b = (g % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(b, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], b[by][1:] != b[by][:-1]]))
-        return {int(b[x[0]]): (g[x], contents[x], c[x], least[x], many[x]) for x in np.split(by, cut[1:])}
+        return {int(b[x[0]]): (g[x], contents[x], c[x], many[x]) for x in np.split(by, cut[1:])}
 
 
 def _rows(found, names, kinds):
@@ -195,92 +194,63 @@ def _unblob(blob: bytes, *kinds):
     return out
 
 
-def _planes(values) -> bytes:
-    """Longs as a plane of each of their bytes, so that planes of zeros take little room in a shuffle."""
-    import numpy as np
-
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _longs(planes):
-    import numpy as np
-
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1)
-
-
 def _first(buckets: int):
     def hashes(key, table):
         import numpy as np
         import pyarrow as pa
 
         batch = key[0].as_py()
-        found = [(b, batch, _blob((g >> np.uint64(32)).astype(np.uint32), n, c, np.frombuffer(_planes(least), np.uint8), many)) for b, (g, n, c, least, many) in Batch(table).hashes(buckets).items()]
+        found = [(b, batch, _blob((g >> np.uint64(32)).astype(np.uint32), n, c, many)) for b, (g, n, c, many) in Batch(table).hashes(buckets).items()]
         return _rows(found, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     return hashes
 
 
 def _flags(key, table):
-    """For each hash: 0 if one document has it, 1 if more, 2 if also in many surroundings, 3 if more and all in one surrounding;
-    and of those of 3 the smallest document."""
+    """For each hash: 0 if one document has it, 1 if more, 2 if also in many surroundings."""
     import numpy as np
     import pyarrow as pa
 
-    parts = [_unblob(b, np.uint32, np.uint8, np.uint64, np.uint8, np.bool_) for b in table["blob"].to_pylist()]
-    h, n, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    least, many = np.concatenate([_longs(p[3]) for p in parts]), np.concatenate([p[4] for p in parts])
+    parts = [_unblob(b, np.uint32, np.uint8, np.uint16, np.bool_) for b in table["blob"].to_pylist()]
+    h, n, c, many = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order = np.lexsort((c, h))
     h_, c_ = h[order], c[order]
     new = np.concatenate([[True], h_[1:] != h_[:-1]])
     at = np.flatnonzero(new)
+    # different contents over all batches: the first ones by their 16 bits, and the further ones of each batch
     other = np.concatenate([[True], c_[1:] != c_[:-1]]) | new
     contents = np.add.reduceat(other.astype(np.int64), at) + np.add.reduceat(n[order].astype(np.int64) - 1, at)
     times = np.diff(np.append(at, len(h)))
     both = np.logical_or.reduceat(many[order], at)
-    flag = np.where((times > 1) | both, np.where(contents > HOT, 2, np.where(contents > 1, 1, 3)), 0).astype(np.uint8)
-    out, owner = np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64)
+    flag = np.where((times > 1) | both, np.where(contents > HOT, 2, 1), 0).astype(np.uint8)
+    out = np.zeros(len(h), np.uint8)
     out[order] = np.repeat(flag, times)
-    owner[order] = np.repeat(np.minimum.reduceat(least[order], at), times)
     ends = np.cumsum([len(p[0]) for p in parts])
-    found = []
-    for batch, p, e in zip(table["batch"].to_pylist(), parts, ends, strict=True):
-        mine = slice(e - len(p[0]), e)
-        found.append((batch, key[0].as_py(), _blob(out[mine], np.frombuffer(_planes(owner[mine][out[mine] == 3]), np.uint8))))
+    found = [(batch, key[0].as_py(), out[e - len(p[0]) : e].tobytes()) for batch, p, e in zip(table["batch"].to_pylist(), parts, ends, strict=True)]
     return _rows(found, ["batch", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
 
 def _second(buckets: int):
-    """From a batch and its flags: each different string or window that may repeat in part, once, with its least and greatest
-    document; and back to the batch itself, in a bucket of its own, the strings that repeat as a whole wherever they are."""
+    """From a batch and its flags: each different string or window that may repeat, once, with its least and greatest document."""
 
     def send(key, table, flags):
         import numpy as np
         import pyarrow as pa
 
-        none = _rows([], ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
         if not table.num_rows:
-            return none
+            return _rows([], ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
         x = Batch(table)
         known = dict(zip(flags["bucket"].to_pylist(), flags["blob"].to_pylist(), strict=True))
-        marks, owners = np.zeros(len(x.gram), np.uint8), np.zeros(len(x.gram), np.int64)
+        marks = np.zeros(len(x.gram), np.uint8)
         order = np.argsort(x.gram, kind="stable")
         grams = x.gram[order]
         for b, (g, *_) in x.hashes(buckets).items():
-            flag, planes = _unblob(known[b], np.uint8, np.uint8)
-            owner = np.zeros(len(flag), np.int64)
-            owner[flag == 3] = _longs(planes)
-            g, owner, flag = g[flag > 0], owner[flag > 0], flag[flag > 0]
+            flag = np.frombuffer(known[b], np.uint8)
+            g, flag = g[flag > 0], flag[flag > 0]
             lo, hi = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
             marks[order[at]] = np.repeat(flag, n)
-            owners[order[at]] = np.repeat(owner, n)
-        found = []
-        whole = np.flatnonzero((marks == 3) & (owners < x.doc))
-        if len(whole):
-            _, one = np.unique(x.content[whole], return_index=True)
-            one = whole[one]
-            found.append((-1 - key[0].as_py() % (1 << 31), key[0].as_py(), _blob(x.content[one], np.zeros(len(one), np.uint8), (x.count[one] + LEAST - 1).astype(np.uint8), owners[one])))
         plain, hot = np.flatnonzero(marks == 1), np.flatnonzero(marks == 2)
         at, h = windows(x.data, x.start[hot], x.count[hot])
         group = np.concatenate([x.gram[plain], h])
@@ -290,16 +260,18 @@ def _second(buckets: int):
         doc = np.concatenate([x.doc[plain], np.repeat(x.doc[hot], x.count[hot])])
         order = np.lexsort((doc, content, group))
         new = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])])[: len(order)])
-        if len(new):
-            least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
-            one = order[new]
-            b = (group[one] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
-                s, n = start[one[part]], size[one[part]]
-                pick = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                found.append((int(b[part[0]]), key[0].as_py(), _blob(group[one[part]], content[one[part]], least[part], most[part], n.astype(np.uint8), x.data[pick])))
-        return _rows(found, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()]) if found else none
+        if not len(new):
+            return _rows([], ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
+        least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
+        one = order[new]
+        b = (group[one] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(b, kind="stable")
+        found = []
+        for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
+            s, n = start[one[part]], size[one[part]]
+            pick = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            found.append((int(b[part[0]]), key[0].as_py(), _blob(group[one[part]], content[one[part]], least[part], most[part], n.astype(np.uint8), x.data[pick])))
+        return _rows(found, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     return send
 
@@ -309,8 +281,6 @@ def _covers(key, table):
     import numpy as np
     import pyarrow as pa
 
-    if key[0].as_py() < 0:  # a batch's own
-        return table.select(["batch", "bucket", "blob"])
     parts = [_unblob(b, np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8) for b in table["blob"].to_pylist()]
     sizes = [len(p[0]) for p in parts]
     group, content, least, most, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
