@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,17 +103,13 @@ def held_out(c):
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most ROWS_PER_CLASS labelled rows a class, chosen by a hash of their ids, never held-out ones.
-
-    Twice as many ids are looked up, so that texts of more than TEXT_CHARS characters are replaced as far as these go.
-    """
+    """(text, toxic) of at most ROWS_PER_CLASS labelled rows a class, chosen by a hash of their ids, never held-out ones; of these,
+    texts of more than TEXT_CHARS characters are left out."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    ids = [known.filter(F.col("toxic") == c).orderBy(*order).limit(2 * ROWS_PER_CLASS) for c in (0, 1)]
-    met = docs.select("doc_id", "text").filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    kept = F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "text"))  # a few thousand rows
-    picked = met.withColumn("k", kept).filter(F.col("k") <= ROWS_PER_CLASS)
-    return picked.orderBy(*order, "text").limit(2 * ROWS_PER_CLASS).select("text", "toxic")  # one partition, so that its rows come in one job
+    ids = [known.filter(F.col("toxic") == c).orderBy(*order).limit(ROWS_PER_CLASS) for c in (0, 1)]
+    picked = docs.select("doc_id", "text").filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    return picked.orderBy(*order, "text").limit(2 * ROWS_PER_CLASS).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
