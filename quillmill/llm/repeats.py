@@ -4,6 +4,9 @@ Suffixes are dealt into buckets by the least hashed k-gram of their first `LEAST
 that length meet in one bucket. Neighbouring suffixes with the same least k-gram travel as one string. A bucket's suffixes
 are sorted, and one scan with a stack over their common prefixes finds the intervals of the suffix array; those whose
 occurrences are preceded by different bytes are the maximal repeats, with all occurrences.
+
+What travels is packed: numbers by bytes of equal weight, sorted hashes as differences, all of it compressed. The k-gram is so long
+that few repeat by chance, since those that do send their strings for nothing, and their share grows with the input.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, saved, small
+from .common import join_hot, runs, saved, small, utf8
 
-LEAST, GRAM = 50, 20
+LEAST, GRAM = 50, 26
 #: Bytes of text in a batch of documents, and of hashes in a bucket; at least GROUPS of each.
 BATCH, BUCKET, GROUPS = 8 << 20, 8 << 20, 64
-#: A k-gram with more different surroundings than this is dealt out by whole windows instead.
-HOT = 64
+#: A k-gram with more different surroundings than this is dealt out by the hashes of whole windows instead.
+HOT = 512
 CHUNK = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -134,25 +137,54 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST):
             stack.clear()
 
 
+def contents(data, size):
+    """The content hashes, as those of strings(), of strings that follow each other in data."""
+    import numpy as np
+
+    power, back = _powers()
+    edges = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(len(size), np.uint64)
+    for a, b in runs(edges, CHUNK):
+        x, at = data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)], out=total[1:])
+        out[a:b] = _mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + (size[a:b] - LEAST + 1).astype(np.uint64))
+    return out
+
+
+def _packed(tables):
+    """The rows of each batch of documents in a table as one blob."""
+    import numpy as np
+    import pyarrow as pa
+
+    for table in tables:
+        if not table.num_rows:
+            continue
+        data, offsets = utf8(table["text"])
+        ids, number = table["doc_id"].to_numpy(zero_copy_only=False), table["batch"].to_numpy(zero_copy_only=False)
+        order = np.argsort(number, kind="stable")
+        found = []
+        for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            texts = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in rows])
+            found.append((int(number[rows[0]]), _blob(ids[rows], offsets[rows + 1] - offsets[rows], texts)))
+        yield from _rows(found, ["batch", "blob"], [pa.int64(), pa.binary()]).to_batches()
+
+
 class Batch:
-    """The texts of a batch, as one array of bytes."""
+    """The texts of a batch of blobs, as one array of bytes."""
 
     def __init__(self, table):
         import numpy as np
-        import pyarrow as pa
 
-        table = table.combine_chunks()
-        self.ids = table["doc_id"].to_numpy()
-        texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-        texts = texts.cast(pa.large_string()).fill_null("")
-        _, offsets, data = texts.buffers()
-        self.offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        parts = [_unblob(b.as_py(), np.int64, np.int64, np.uint8) for b in table["blob"]]
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)]
+        self.ids, size, self.data = (np.concatenate([p[i] for p in [none, *parts]]) for i in range(3))
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
         self.start, self.count, self.gram, self.content, text = strings(self.data, self.offsets)
         self.doc = self.ids[text] if len(text) else text
 
     def hashes(self, buckets: int):
-        """By bucket: the different k-gram hashes in order, their numbers of contents (255 at most), 16 bits of the first content, and
+        """By bucket: the different k-gram hashes in order, their numbers of contents (65535 at most), 8 bits of the first content, and
         whether two documents have them."""
         import numpy as np
 
@@ -163,9 +195,9 @@ class Batch:
         if not len(at):
             return {}
         other = np.concatenate([[True], (c[1:] != c[:-1])])[: len(g)] | new
-        contents = np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8)
+        contents = np.minimum(np.add.reduceat(other.astype(np.int64), at), 65535).astype(np.uint16)
         many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        g, c = g[at], (c[at] >> np.uint64(48)).astype(np.uint16)
+        g, c = g[at], (c[at] >> np.uint64(56)).astype(np.uint8)
         b = (g % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(b, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], b[by][1:] != b[by][:-1]]))
@@ -179,28 +211,43 @@ def _rows(found, names, kinds):
 
 
 def _blob(*arrays) -> bytes:
+    """Arrays as compressed bytes, those of equal weight together, after the lengths of all this and of each array."""
     import numpy as np
+    import pyarrow as pa
 
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    return np.array([len(raw), *(len(a) for a in arrays)], np.int64).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unblob(blob: bytes, *kinds):
     import numpy as np
+    import pyarrow as pa
 
-    at, out = 8 * len(kinds), []
-    for n, k in zip(np.frombuffer(blob, np.int64, len(kinds)), kinds, strict=True):
-        out.append(np.frombuffer(blob, k, int(n), at))
-        at += int(n) * np.dtype(k).itemsize
+    head = 8 * len(kinds) + 8
+    size, *lengths = np.frombuffer(blob[:head], np.int64).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(pa.py_buffer(blob).slice(head), size), np.uint8) if size else np.zeros(0, np.uint8)
+    at, out = 0, []
+    for n, k in zip(lengths, kinds, strict=True):
+        wide = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(k).ravel())
+        at += n * wide
     return out
 
 
+def _steps(sorted_hashes):
+    """The upper halves of sorted 64-bit hashes, as differences; np.cumsum with dtype uint32 undoes these."""
+    import numpy as np
+
+    return np.diff((sorted_hashes >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
+
+
 def _first(buckets: int):
     def hashes(key, table):
         import numpy as np
         import pyarrow as pa
 
         batch = key[0].as_py()
-        found = [(b, batch, _blob((g >> np.uint64(32)).astype(np.uint32), n, c, many)) for b, (g, n, c, many) in Batch(table).hashes(buckets).items()]
+        found = [(b, batch, _blob(_steps(g), n, c, many)) for b, (g, n, c, many) in Batch(table).hashes(buckets).items()]
         return _rows(found, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     return hashes
@@ -211,27 +258,30 @@ def _flags(key, table):
     import numpy as np
     import pyarrow as pa
 
-    parts = [_unblob(b, np.uint32, np.uint8, np.uint16, np.bool_) for b in table["blob"].to_pylist()]
+    parts = [_unblob(b, np.uint32, np.uint16, np.uint8, np.bool_) for b in table["blob"].to_pylist()]
+    parts = [(np.cumsum(h, dtype=np.uint32), *other) for h, *other in parts]
     h, n, c, many = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order = np.lexsort((c, h))
     h_, c_ = h[order], c[order]
     new = np.concatenate([[True], h_[1:] != h_[:-1]])
     at = np.flatnonzero(new)
-    # different contents over all batches: the first ones by their 16 bits, and the further ones of each batch
+    # different contents over all batches: the first ones as estimated from how many of 256 values they take, and the further ones of each batch
     other = np.concatenate([[True], c_[1:] != c_[:-1]]) | new
-    contents = np.add.reduceat(other.astype(np.int64), at) + np.add.reduceat(n[order].astype(np.int64) - 1, at)
+    taken = np.minimum(np.add.reduceat(other.astype(np.int64), at), 255.9)
+    contents = -256 * np.log1p(-taken / 256) + np.add.reduceat(n[order].astype(np.int64) - 1, at)
     times = np.diff(np.append(at, len(h)))
     both = np.logical_or.reduceat(many[order], at)
     flag = np.where((times > 1) | both, np.where(contents > HOT, 2, 1), 0).astype(np.uint8)
     out = np.zeros(len(h), np.uint8)
     out[order] = np.repeat(flag, times)
     ends = np.cumsum([len(p[0]) for p in parts])
-    found = [(batch, key[0].as_py(), out[e - len(p[0]) : e].tobytes()) for batch, p, e in zip(table["batch"].to_pylist(), parts, ends, strict=True)]
+    found = [(batch, key[0].as_py(), _blob(out[e - len(p[0]) : e])) for batch, p, e in zip(table["batch"].to_pylist(), parts, ends, strict=True)]
     return _rows(found, ["batch", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
 
 def _second(buckets: int):
-    """From a batch and its flags: each different string or window that may repeat, once, with its least and greatest document."""
+    """From a batch and its flags: each different string that may repeat, and the hash of each different window of hot k-grams, once, with
+    its least and greatest document."""
 
     def send(key, table, flags):
         import numpy as np
@@ -245,7 +295,7 @@ def _second(buckets: int):
         order = np.argsort(x.gram, kind="stable")
         grams = x.gram[order]
         for b, (g, *_) in x.hashes(buckets).items():
-            flag = np.frombuffer(known[b], np.uint8)
+            (flag,) = _unblob(known[b], np.uint8)
             g, flag = g[flag > 0], flag[flag > 0]
             lo, hi = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
             n = hi - lo
@@ -253,24 +303,31 @@ def _second(buckets: int):
             marks[order[at]] = np.repeat(flag, n)
         plain, hot = np.flatnonzero(marks == 1), np.flatnonzero(marks == 2)
         at, h = windows(x.data, x.start[hot], x.count[hot])
-        group = np.concatenate([x.gram[plain], h])
-        content = np.concatenate([x.content[plain], h])
-        start = np.concatenate([x.start[plain], at])
-        size = np.concatenate([x.count[plain] + LEAST - 1, np.full(len(at), LEAST, np.int64)])
-        doc = np.concatenate([x.doc[plain], np.repeat(x.doc[hot], x.count[hot])])
-        order = np.lexsort((doc, content, group))
-        new = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])])[: len(order)])
-        if not len(new):
-            return _rows([], ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
-        least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
-        one = order[new]
-        b = (group[one] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(b, kind="stable")
-        found = []
-        for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
-            s, n = start[one[part]], size[one[part]]
+        sent: dict[int, list] = {}
+
+        def deal(group, content, doc):
+            """By bucket: the rows of its different contents, their least documents and how far the greatest ones are from these."""
+            order = np.lexsort((doc, content, group))
+            g, c = group[order], content[order]
+            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(order)])
+            if not len(new):
+                return
+            least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
+            b = (g[new] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(b, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
+                yield int(b[part[0]]), order[new[part]], least[part], most[part] - least[part]
+
+        for b, one, least, more in deal(x.gram[plain], x.content[plain], x.doc[plain]):
+            one = plain[one]
+            s, n = x.start[one], x.count[one] + LEAST - 1
             pick = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            found.append((int(b[part[0]]), key[0].as_py(), _blob(group[one[part]], content[one[part]], least[part], most[part], n.astype(np.uint8), x.data[pick])))
+            sent[b] = [_steps(x.gram[one]), least, more, n.astype(np.uint8), x.data[pick]]
+        none = [np.zeros(0, k) for k in (np.uint32, np.int64, np.int64, np.uint8, np.uint8)]
+        for b, one, least, more in deal(h, h, np.repeat(x.doc[hot], x.count[hot])):
+            sent[b] = [*sent.get(b, none), h[one], least, more]
+        none = [np.zeros(0, k) for k in (np.uint64, np.int64, np.int64)]
+        found = [(b, key[0].as_py(), _blob(*(a if len(a) == 8 else [*a, *none]))) for b, a in sent.items()]
         return _rows(found, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     return send
@@ -281,24 +338,36 @@ def _covers(key, table):
     import numpy as np
     import pyarrow as pa
 
-    parts = [_unblob(b, np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8) for b in table["blob"].to_pylist()]
+    kinds = (np.uint32, np.int64, np.int64, np.uint8, np.uint8, np.uint64, np.int64, np.int64)
+    parts = [_unblob(b, *kinds) for b in table["blob"].to_pylist()]
+    found: list[list] = [[] for _ in parts]
+    whole, least, more = (np.concatenate([p[i] for p in parts]) for i in (5, 6, 7))
+    if len(whole):
+        order = np.argsort(whole, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
+        smallest = np.zeros(len(whole), np.int64)
+        smallest[order] = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.append(at, len(whole))))
+        sender = np.repeat(np.arange(len(parts)), [len(p[5]) for p in parts])
+        for k in np.flatnonzero(smallest < least + more).tolist():
+            found[sender[k]].append((whole[k], 0, LEAST, smallest[k]))
     sizes = [len(p[0]) for p in parts]
-    group, content, least, most, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    size = size.astype(np.int64)
-    data = np.concatenate([p[5] for p in parts])
+    group = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    least, more, size, data = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+    most, size = least + more, size.astype(np.int64)
+    content = contents(data, size)
     ends = np.cumsum(size)
     sender = np.repeat(np.arange(len(parts)), sizes)
     order = np.lexsort((content, group))
     g, c = group[order], content[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(order)]
     at = np.flatnonzero(new)
     which = np.cumsum(new) - 1  # the different string of each row of order
-    smallest, greatest = np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)
+    smallest, greatest = (np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)) if len(at) else (at, at)
     covers: dict[int, list[tuple[int, int, int]]] = {}
     for k in np.flatnonzero(smallest < greatest).tolist():
         covers[k] = [(0, int(size[order[at[k]]]), int(smallest[k]))]
-    first = np.flatnonzero(np.concatenate([[True], g[at][1:] != g[at][:-1]]))
-    last = np.append(first[1:], len(at))
+    first = np.flatnonzero(np.concatenate([[True], g[at][1:] != g[at][:-1]])[: len(at)])
+    last = np.append(first[1:], len(at))[: len(first)]
     raw = data.tobytes()
     for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
         texts = [raw[ends[i] - size[i] : ends[i]] for i in order[at[a:b]]]
@@ -307,7 +376,6 @@ def _covers(key, table):
             for t, i in seen:
                 if m < greatest[a + t]:
                     covers.setdefault(a + t, []).append((i, length, m))
-    found: list[list] = [[] for _ in parts]
     for row, k in zip(order.tolist(), which.tolist(), strict=True):
         for i, n, m in covers.get(k, ()):
             if m < most[row]:
@@ -392,7 +460,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_batches, n_buckets = max(GROUPS, total // BATCH + 1), max(GROUPS, total // (BUCKET * 4) + 1)
     rest = docs.filter("doc_id is not null").withColumn("h", F.unhex(key)).join(apart, ["doc_id", "h"], "left_anti")
-    by_batch = rest.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_batches)).alias("batch"), "doc_id", "text").groupBy("batch")
+    by_batch = rest.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_batches)).alias("batch"), "doc_id", "text")
+    by_batch = by_batch.mapInArrow(_packed, "batch long, blob binary").groupBy("batch")
     sent, back = "bucket int, batch long, blob binary", "batch long, bucket int, blob binary"
     flags = by_batch.applyInArrow(_first(n_buckets), sent).groupBy("bucket").applyInArrow(_flags, back)
     strings_ = by_batch.cogroup(flags.groupBy("batch")).applyInArrow(_second(n_buckets), sent)

@@ -4,6 +4,7 @@ import re
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert all(sum(s.length for s in x.spans) == x.n_removed for x in got)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    j, none = spark._jvm, sc._gateway.new_array(spark._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(j.java.util.ArrayList(), False, False, none, j.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_repeats_send_no_more_than_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUPS", 2)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = df.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled_bytes(spark)
+    assert repeats.removed(df).agg(F.sum("n_removed")).first()[0] > 0
+    assert sum(v for k, v in shuffled_bytes(spark).items() if k not in before) < 1.4 * n
+
+
+def test_contents_equal_those_of_strings():
+    r = random.Random(5)
+    data = np.frombuffer("".join(r.choice("abcdefgh") for _ in range(1_500_000)).encode(), np.uint8)
+    start, count, _, content, _ = repeats.strings(data, np.array([0, len(data)]))
+    size = count + repeats.LEAST - 1
+    data = np.concatenate([data[a : a + n] for a, n in zip(start, size, strict=True)])
+    assert (repeats.contents(data, size) == content).all()
+
+
 def test_maximal_repeats_name_all_occurrences():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(60)).encode() for _ in range(6)]
