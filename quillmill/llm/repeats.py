@@ -25,6 +25,8 @@ BATCH, BUCKET, GROUPS = 8 << 20, 8 << 20, 64
 HOT = 512
 CHUNK = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
+#: Sets strings apart from windows of other bytes; the number of windows alone is no more than another first byte.
+APART = 0xD6E8FEB86659FD93
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +84,7 @@ def strings(data, offsets):
         stop[:-1] &= ~whole[1:] | first[1:]
         count = np.flatnonzero(stop) - start + 1
         end = start + count + LEAST - 1
-        content = _mix((total[end] - total[start]) * back[start] + count.astype(np.uint64))
+        content = _mix((total[end] - total[start]) * back[start] + count.astype(np.uint64) * np.uint64(APART))
         out.append((start + at, count, gram[where[start]], content, np.searchsorted(offsets, start + at, "right") - 1))
     if not out:
         z = np.zeros(0, np.int64)
@@ -148,7 +150,7 @@ def contents(data, size):
         x, at = data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)], out=total[1:])
-        out[a:b] = _mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + (size[a:b] - LEAST + 1).astype(np.uint64))
+        out[a:b] = _mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + (size[a:b] - LEAST + 1).astype(np.uint64) * np.uint64(APART))
     return out
 
 

@@ -120,6 +120,12 @@ def test_contents_equal_those_of_strings():
     assert (repeats.contents(data, size) == content).all()
 
 
+def test_a_string_is_not_taken_for_a_window_with_another_first_byte():
+    one, other = (np.frombuffer(c + b" und" * 12 + b" ", np.uint8) for c in (b"d", b"e"))
+    assert len(one) == repeats.LEAST
+    assert repeats.strings(one, np.array([0, len(one)]))[3][0] != repeats.windows(other, np.array([0]), np.array([1]))[1][0]
+
+
 def test_maximal_repeats_name_all_occurrences():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(60)).encode() for _ in range(6)]
